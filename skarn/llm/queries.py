@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, html_text, lang_id, licenses, line_dedup, quality, token_file, winnow
+from . import common, decontaminate, html_text, jaccard_join, lang_id, licenses, line_dedup, quality, token_file, winnow
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict(docs, lang_id.fit(docs))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_fingerprints": op6_fingerprints,
     "op4_token_file": op4_token_file,
     "op7_language_id": op7_language_id,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
 }
 
