@@ -20,7 +20,7 @@ doc_id follow each other in text order; a null doc_id comes first.
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -39,45 +39,57 @@ ESCAPE = 0
 MAGIC = b"S8B1"
 BLOCK_IDS = 1 << 16
 END_ID = 0
-TARGET_BYTES = 24 << 20
+#: Texts encoded together.
+STEP = 1024
 #: Selectors worth trying, densest first; one id in a word is the escape.
 _TRY = tuple((s, COUNTS[s], BITS[s]) for s in range(len(BITS) - 1, 1, -1))
 
 
-def pack(ids: np.ndarray) -> np.ndarray:
-    """Words of a sequence of unsigned 32-bit ids.
+#: Bits needed by each 16-bit value.
+_WIDTH = np.ceil(np.log2(np.arange(1 << 16) + 1)).astype(np.int8)
+
+
+def pack(ids: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a sequence of unsigned 32-bit ids, and the number of words that
+    stand before each end in `ends`; no word crosses an end.
 
     The selector that fits most ids is found for all positions at once: the
     width needed by the next n ids is a sliding maximum.  The greedy walk then
     jumps from word to word, and words are filled selector by selector."""
     n = len(ids)
+    ends = np.array([n], np.int64) if ends is None else ends
     if not n:
-        return np.zeros(0, np.uint64)
-    wide = np.ceil(np.log2(ids.astype(np.float64) + 1)).astype(np.int8)
+        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+    wide = _WIDTH[np.minimum(ids, (1 << 16) - 1)]
+    if (large := ids >> 16).any():
+        wide = np.where(large > 0, 16 + _WIDTH[large], wide)
+    room = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)
     best = np.full(n, ESCAPE, np.int8)
-    most, span = wide.copy(), 1
-    # Sliding maxima for growing spans; a later (longer) fit replaces an earlier.
+    most, span, widest = wide, 1, int(wide.max())
+    # Sliding maxima for growing spans; a longer fit replaces a shorter one.
     for s, count, bits in reversed(_TRY):
         if count > n:
             break
-        if (wide <= bits).sum() < count:
-            continue
         while span < count:
             step = min(span, count - span)
             most = np.maximum(most[: len(most) - step], most[step:])
             span += step
-        best[: len(most)][most <= bits] = s
-    jump = np.asarray(COUNTS, np.int64)[best]
-    starts = _walk(jump, n)
+        fits = most <= bits if bits < widest else np.ones(len(most), bool)
+        fits &= room[: len(most)] >= count
+        if not fits.any():
+            break
+        best[: len(most)][fits] = s
+    starts = _walk(np.asarray(COUNTS, np.int64)[best], n)
     sel = best[starts]
     words = sel.astype(np.uint64) << np.uint64(60)
     for s in np.unique(sel):
-        at = starts[sel == s]
-        part = np.zeros(len(at), np.uint64)
+        own = np.flatnonzero(sel == s)
+        at = starts[own]
+        part = words[own]
         for k in range(COUNTS[s]):
             part |= ids[at + k].astype(np.uint64) << np.uint64(k * BITS[s])
-        words[sel == s] |= part
-    return words
+        words[own] = part
+    return words, np.searchsorted(starts, ends)
 
 
 def _walk(jump: np.ndarray, n: int) -> np.ndarray:
@@ -105,11 +117,10 @@ def unpack(words: np.ndarray) -> np.ndarray:
 
 def write_block(docs: list[np.ndarray]) -> bytes:
     """Header, n + 1 word offsets, n id counts, words."""
-    words = [pack(d) for d in docs]
-    offsets = np.cumsum([0, *map(len, words)]).astype("<u8")
     counts = np.array([len(d) for d in docs], "<u4")
-    body = np.concatenate([np.zeros(0, np.uint64), *words]).astype("<u8").tobytes()
-    return struct.pack("<4sIQ", MAGIC, len(docs), int(counts.sum())) + offsets.tobytes() + counts.tobytes() + body
+    words, ends = pack(np.concatenate([np.zeros(0, np.uint32), *docs]).astype(np.uint32), np.cumsum(counts, dtype=np.int64))
+    offsets = np.concatenate([[0], ends]).astype("<u8")
+    return struct.pack("<4sIQ", MAGIC, len(docs), int(counts.sum())) + offsets.tobytes() + counts.tobytes() + words.astype("<u8").tobytes()
 
 
 def open_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,10 +145,6 @@ def read_document(data: bytes, k: int) -> np.ndarray:
     return unpack(words[int(offsets[k]) : int(offsets[k + 1])])
 
 
-#: Texts that are not cut at their spaces.
-UNCUT = re.compile(r"\A\s|\s\Z| \s|\s ")
-
-
 class CachedEncoder:
     """Ids of whole texts by the tokenizers library, which sees each distinct
     space-delimited piece once while it is cached.
@@ -147,34 +154,66 @@ class CachedEncoder:
     changing its ids; texts in which a space stands otherwise go to the library
     whole."""
 
-    def __init__(self, path: str, entries: int = 200_000):
+    def __init__(self, path: str, entries: int = 400_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.entries, self.cache = entries, {}
+        self.spaced = np.zeros(self.tok.get_vocab_size(), bool)
+        for token, i in self.tok.get_vocab().items():
+            self.spaced[i] = token[:1] == "\u0120"  # the byte-level alphabet's space
+        self.entries, self.cache, self.seen = entries, {}, {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _spaced(self, pieces: list[str], step: int = 4096) -> Iterator[bytes]:
+        """Ids of pieces with a space before each: many are encoded as one text,
+        and a token that starts with the space starts the next piece."""
+        for k in range(0, len(pieces), step):
+            some = pieces[k : k + step]
+            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            at = (4 * np.append(np.flatnonzero(self.spaced[ids]), len(ids))).tolist()
+            if len(at) != len(some) + 1:  # never for a byte-level vocabulary
+                raise ValueError("a piece holds a space")
+            raw = ids.tobytes()
+            yield from (raw[a:b] for a, b in zip(at, at[1:]))
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split: list[list[str] | None] = []
+        split: list[list[str]] = []
         need: set[str] = set()
         for text in texts:
-            if not text or UNCUT.search(text):
-                split.append(None)
-                continue
             parts = text.split(" ")
             parts[0] = "\n" + parts[0]  # the first piece has no space before it
             need.update(parts)
             split.append(parts)
         if len(self.cache) > self.entries:
-            self.cache = {}
-        cache = self.cache
-        new = [p for p in need if p not in cache]
-        cache.update(zip(new, self._library([p[1:] if p[0] == "\n" else " " + p for p in new])))
-        whole = iter(self._library([t for t, s in zip(texts, split) if s is None]))
-        return [np.frombuffer(next(whole) if s is None else b"".join(map(cache.__getitem__, s)), "<u4") for s in split]
+            self.seen, self.cache = self.cache, {}  # what is used again comes back from there
+        cache, seen = self.cache, self.seen
+        need = [p for p in need if p not in cache]
+        if seen:
+            cache.update((p, seen[p]) for p in need if p in seen)
+            need = [p for p in need if p not in seen]
+        first, rest = [], []
+        for p in need:
+            bare = p[1:] if p[:1] == "\n" else p
+            if not bare or bare[0].isspace() or bare[-1].isspace():
+                cache[p] = None
+            elif bare is p:
+                rest.append(p)
+            else:
+                first.append(p)
+        cache.update(zip(first, self._library([p[1:] for p in first])))
+        cache.update(zip(rest, self._spaced(rest)))
+        out: list[bytes | None] = []
+        for parts in split:
+            try:
+                out.append(b"".join(map(cache.__getitem__, parts)))
+            except TypeError:  # a space that does not part two words
+                out.append(None)
+        whole = iter(self._library([t for t, o in zip(texts, out) if o is None]))
+        return [np.frombuffer(next(whole) if o is None else o, "<u4") for o in out]
 
 
 _encoders: dict[str, CachedEncoder] = {}
@@ -207,8 +246,8 @@ def _blocks(encode: Callable[[list[str]], list[np.ndarray]], end_id: int, block_
         for pdf in batches:
             texts = [t or "" for t in pdf["text"]]
             doc_ids = pdf["doc_id"].astype("Int64").fillna(NO_ID).tolist()
-            for k in range(0, len(texts), 256):
-                for doc, own in zip(doc_ids[k : k + 256], encode(texts[k : k + 256])):
+            for k in range(0, len(texts), STEP):
+                for doc, own in zip(doc_ids[k : k + STEP], encode(texts[k : k + STEP])):
                     ids.append(doc)
                     docs.append(np.append(own, np.uint32(end_id)))
                     held += len(own) + 1
@@ -227,8 +266,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     common.ship(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if partitions is None:
-        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        partitions = max(6, -(-size // TARGET_BYTES))
+        partitions = texts.rdd.getNumPartitions()  # as many ranges as the input has splits
     ordered = texts.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(some: list[str]) -> list[np.ndarray]:
