@@ -6,8 +6,9 @@ single spaces.  Its SHA-256 digest is joined by equality with the digests of
 known licence texts and notices.  Two kinds of entire texts are looked up: the
 whole document, and each of its lines.
 
-Every row is handled where it is read; only documents with a match are
-shuffled, by doc_id.  The known digests are a fixed list and are broadcast.
+Every row is handled where it is read; texts without any of a few words, of
+which each known text holds one, cannot match and are not canonicalised; only
+documents with a match are shuffled, by doc_id.  The known digests are a fixed list and are broadcast.
 
 Defined cases: null or empty texts, and texts that are empty once canonical,
 match nothing; rows with the same doc_id are scanned apart and counted
@@ -16,6 +17,10 @@ together, once for each row's text.
 
 from __future__ import annotations
 
+import operator
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,33 +39,46 @@ COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”„‘’‚«»‹›–—―…·•©®™\x{A0}]+"
 
 
-def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT, "\n")
+def canonical(lowered: Column) -> Column:
+    """Canonical form of a lower-cased text."""
+    out = F.regexp_replace(lowered, COPYRIGHT, "\n")
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(out, PUNCTUATION, " "))
 
 
-def digest(text: Column) -> Column:
-    c = canonical(text)
-    return F.when(c != "", F.sha2(c, 256))
+def anchors() -> list[str]:
+    """Words of which every known text holds one.  No spelling rule makes or
+    changes them and canonicalising keeps words whole, so a text without any of
+    them, once lower-cased, cannot have a known canonical form."""
+    made = " ".join(x for pair in SPELLINGS for x in pair)
+    lines = [[x for x in text.lower().split("\n") if not re.search(COPYRIGHT, x)] for _, text in KNOWN]
+    words = [{w for x in own for w in re.findall("[a-z]{5,}", x) if w not in made and not any(a in w for a, _ in SPELLINGS)} for own in lines]
+    chosen: list[str] = []
+    left = words
+    while left:
+        best = max(sorted({w for own in left for w in own}), key=lambda w: sum(w in own for own in left))
+        chosen.append(best)
+        left = [own for own in left if best not in own]
+    return chosen
 
 
 def known(spark) -> DataFrame:
     """license_id and digest of each known text."""
     rows = spark.createDataFrame(KNOWN, "license_id string, known string")
-    return rows.select("license_id", digest(F.col("known")).alias("digest")).distinct()
+    return rows.select("license_id", F.sha2(canonical(F.lower("known")), 256).alias("digest")).distinct()
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, whole_license (of the entire text, or null), n_notices (lines
     that are a known text) and licenses (sorted, distinct, comma-separated)."""
     table = F.broadcast(known(docs.sparkSession))  # a fixed list
-    texts = docs.select("doc_id", "text")
-    each = texts.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("line is not null and line <> ''")
-    notices = each.select("doc_id", digest(F.col("line")).alias("digest")).join(table, "digest").select("doc_id", "license_id", F.lit(0).alias("whole"))
-    entire = texts.where("text is not null").select("doc_id", digest(F.col("text")).alias("digest")).join(table, "digest").select("doc_id", "license_id", F.lit(1).alias("whole"))
-    found = notices.unionAll(entire).groupBy("doc_id").agg(
+    hold = lambda c: reduce(operator.or_, [F.contains(F.col(c), F.lit(w)) for w in anchors()])
+    texts = docs.select("doc_id", F.lower("text").alias("low")).where(hold("low"))
+    lines = texts.select("doc_id", F.lit(0).alias("whole"), F.explode(F.split("low", "\n")).alias("low")).where(hold("low"))
+    each = lines.unionAll(texts.select("doc_id", F.lit(1).alias("whole"), "low"))
+    each = each.withColumn("canonical", canonical(F.col("low"))).where("canonical <> ''")
+    found = each.withColumn("digest", F.sha2("canonical", 256)).join(table, "digest").groupBy("doc_id").agg(
         F.max(F.when(F.col("whole") == 1, F.col("license_id"))).alias("whole_license"),
         F.sum(1 - F.col("whole")).cast("long").alias("n_notices"),
         F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("licenses"),
