@@ -58,11 +58,14 @@ def release(df: DataFrame) -> None:
 
 
 _shipped: set[str] = set()
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python
-    workers import it wherever they run."""
+    workers import it wherever they run; keep batches of whole texts small."""
+    if spark.conf.get(BATCH_CONF, "10000") == "10000":  # Spark's default, made for short rows
+        spark.conf.set(BATCH_CONF, "1000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

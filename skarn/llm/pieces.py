@@ -36,13 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .word_cache import WordCache
 
 DROPOUT, SEED, VARIANTS = 0.1, 20240229, 4
 MARK = "▁"
 UNIT = re.compile(r" *[^ ]+| +\Z")
 #: Units of more symbols are encoded one by one.
 LONG = 48
-CACHE = 100_000
+#: Units kept and on trial, over all variants.
+KEEP, TRIAL = 300_000, 160_000
+#: Texts encoded together.
+STEP = 500
 NONE = np.int64(1) << np.int64(40)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -146,8 +150,7 @@ class Encoder:
     def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
         self.model, self.seed, self.variants = Model(path), seed, variants
         self.limit = np.uint64(min(2**64 - 1, int(dropout * 2.0**64)))
-        self.cache: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.seen: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.caches = [WordCache(KEEP // variants, TRIAL // variants) for _ in range(variants)]
 
     def variant(self, doc_id: int | None) -> int:
         return xxhash.xxh3_64_intdigest(repr(doc_id).encode(), seed=self.seed) % self.variants
@@ -234,8 +237,14 @@ class Encoder:
             best = value[np.arange(len(rows)), at]
             done = best >= NONE
             if done.any():
-                for k in np.flatnonzero(done).tolist():
-                    out[rows[k]] = self._finish(sym[k, : count[k]].tolist())
+                own, n_own = np.flatnonzero(done), count[done]
+                flat = sym[own][np.arange(sym.shape[1]) < n_own[:, None]]
+                raw, ends = flat.astype("<i4").tobytes(), (4 * np.cumsum(n_own)).tolist()
+                for k, a, b in zip(rows[own].tolist(), [0, *ends], ends):
+                    out[k] = raw[a:b]
+                if (flat >= m.size).any():
+                    for k in own[(sym[own] >= m.size).any(1)].tolist():
+                        out[rows[k]] = self._finish(sym[k, : count[k]].tolist())
                 live = ~done
                 rows, sym, start, value, key, count, at, best = rows[live], sym[live], start[live], value[live], key[live], count[live], at[live], best[live]
                 if not len(rows):
@@ -290,16 +299,11 @@ class Encoder:
             need[v].update(parts)
             cut.append(parts)
             variants.append(v)
-        for v in range(self.variants):
-            if len(self.cache[v]) > CACHE:
-                self.seen[v], self.cache[v] = self.cache[v], {}
-            cache, seen = self.cache[v], self.seen[v]
-            missing = [p for p in need[v] if p not in cache]
-            if seen:
-                cache.update((p, seen[p]) for p in missing if p in seen)
-                missing = [p for p in missing if p not in seen]
-            cache.update(zip(missing, self.units([p if p[0] == " " else " " + p for p in missing], v)))
-        return [np.frombuffer(b"".join(map(self.cache[v].__getitem__, parts)), "<i4") for parts, v in zip(cut, variants)]
+        tables = [c.resolve(n, lambda new, v=v: self.units([p if p[:1] == " " else " " + p for p in new], v)) for v, (c, n) in enumerate(zip(self.caches, need))]
+        out = [np.frombuffer(b"".join(map(tables[v].__getitem__, parts)), "<i4") for parts, v in zip(cut, variants)]
+        for c in self.caches:
+            c.settle()
+        return out
 
 
 _models: dict[str, Model] = {}
@@ -329,8 +333,8 @@ def with_pieces(docs: DataFrame, model: str, out: str = "piece_ids", dropout: fl
         for texts, ids in batches:
             some, own = [t or "" for t in texts], ids.astype("Int64").fillna(-(1 << 63)).tolist()
             got: list[np.ndarray] = []
-            for k in range(0, len(some), 1024):
-                got.extend(enc(some[k : k + 1024], own[k : k + 1024]))
+            for k in range(0, len(some), STEP):
+                got.extend(enc(some[k : k + STEP], own[k : k + STEP]))
             yield pd.Series(got, dtype=object)
 
     return docs.withColumn(out, encode(F.col("text"), F.col("doc_id").cast("long")))
@@ -356,10 +360,32 @@ def with_decoded(df: DataFrame, model: str, ids: str = "piece_ids", out: str = "
     return df.withColumn(out, back(F.col(ids)))
 
 
+def with_checked_pieces(docs: DataFrame, model: str, out: str = "pieces", dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+    """docs with struct column `out`: the ids of each text, their crc32, and
+    what the ids decode to (its sha256, and whether it is the text).  One Python
+    worker a task does both ways."""
+    common.ship(docs.sparkSession)
+
+    @F.pandas_udf("ids array<int>, ids_crc32 long, decoded_sha256 string, lossless boolean")
+    def both(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        enc = encoder(model, dropout, seed, variants)
+        names = enc.model.bytes
+        for texts, ids in batches:
+            some, own = [t or "" for t in texts], ids.astype("Int64").fillna(-(1 << 63)).tolist()
+            got: list[np.ndarray] = []
+            for k in range(0, len(some), STEP):
+                got.extend(enc(some[k : k + STEP], own[k : k + STEP]))
+            back = [decode(x, names) for x in got]
+            yield pd.DataFrame({
+                "ids": pd.Series(got, dtype=object), "ids_crc32": [zlib.crc32(x.astype("<i4").tobytes()) for x in got],
+                "decoded_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back],
+                "lossless": [a == b for a, b in zip(some, back)],
+            })
+
+    return docs.withColumn(out, both(F.col("text"), F.col("doc_id").cast("long")))
+
+
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, decoded_sha256, lossless of each row."""
-    coded = with_pieces(docs.select("doc_id", "text"), model)
-    return with_decoded(coded, model).select(
-        "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "decoded.ids_crc32",
-        F.col("decoded.sha256").alias("decoded_sha256"), (F.col("decoded.text") == F.coalesce("text", F.lit(""))).alias("lossless"),
-    )
+    coded = with_checked_pieces(docs.select("doc_id", "text"), model)
+    return coded.select("doc_id", F.size("pieces.ids").cast("long").alias("n_pieces"), "pieces.ids_crc32", "pieces.decoded_sha256", "pieces.lossless")
