@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-K, COVERAGE, CONSISTENT = 5, 0.5, 0.5
+K, COVERAGE, CONSISTENT = 5, 0.5, 0.75
 BROADCAST_ROWS = 2_000_000
 #: Placeholders: a token that stands for a value starts with one of these.
 NUMBER, UNIT, NAME = "\x01", "\x02", "\x03"

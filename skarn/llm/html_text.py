@@ -149,6 +149,23 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+#: Words that page authors put in class and id attributes, by kind of block.
+KINDS = {
+    "menu": "nav navbar navigation menu topnav breadcrumb breadcrumbs tabs toc pagination pager links skip megamenu submenu",
+    "header": "header masthead banner topbar logo brand site branding tagline hero",
+    "footer": "footer foot copyright legal colophon bottom sitemap credits",
+    "side": "sidebar side aside widget related recommended recommendations popular trending rail tags categories archive recent more readmore",
+    "notice": "notice cookie cookies consent gdpr alert popup modal overlay toast paywall disclaimer warning message privacy",
+    "advert": "ad ads advert adverts advertisement sponsor sponsored promo promotion banner outbrain taboola dfp adsense adslot commercial",
+    "form": "form search login signin signup subscribe newsletter subscription contact register poll feedback",
+    "comment": "comment comments discussion replies reply respond disqus thread responses reader readers commentlist",
+    "share": "share sharing social follow facebook twitter buttons toolbar print",
+}
+MAIN = "content article post entry main body story text page copy maincontent articlebody postcontent entrycontent storybody"
+_BOILER = frozenset({f"c:{w}" for own in KINDS.values() for w in own.split()} | {f"in:{t}" for t in ("nav", "header", "footer", "aside", "form", "menu", "dialog")})
+_MAIN = frozenset({f"c:{w}" for w in MAIN.split()} | {"in:article", "in:main"})
+
+
 def features(b: Block, before: Block | None) -> list[str]:
     n = len(b.text)
     words = b.text.count(" ") + 1
@@ -165,6 +182,8 @@ def features(b: Block, before: Block | None) -> list[str]:
         out.append(f"outside&words:{min(6, words.bit_length())}")
     if before is not None and before.around == b.around:
         out.append("same")
+    boiler, main = not _BOILER.isdisjoint(b.around), not _MAIN.isdisjoint(b.around)
+    out += [f"boiler:{boiler}", f"main:{main}", f"main:{main}&boiler:{boiler}", f"main:{main}&boiler:{boiler}&words:{min(6, words.bit_length())}"]
     out.extend(b.around)
     return out
 
@@ -209,7 +228,7 @@ class Field:
         return out[::-1]
 
 
-def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 120, l2: float = 0.02, rate: float = 0.1) -> Field:
+def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 160, l2: float = 0.02, rate: float = 0.1) -> Field:
     """Maximum likelihood by full-batch Adam; the forward and backward passes
     run over all pages at once."""
     names: dict[str, int] = {}
@@ -244,8 +263,8 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 120, l2: flo
         marginal = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
         gold = np.eye(2)[y] * mask[:, :, None]
         diff = (marginal - gold).reshape(total, 2)
-        gw = np.stack([np.bincount(cols, diff[rows, k], nf) for k in (0, 1)], 1) / n + l2 * w / n * 10
-        gt = l2 * trans / n * 10
+        gw = np.stack([np.bincount(cols, diff[rows, k], nf) for k in (0, 1)], 1) / n + l2 * w / n
+        gt = l2 * trans / n
         for t in range(1, longest):
             live = mask[:, t]
             pair = np.exp(alpha[live, t - 1, :, None] + trans + (emit[live, t] + beta[live, t])[:, None, :] - z[live, None, None])
@@ -258,21 +277,6 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 120, l2: flo
     return Field(names, *params)
 
 
-#: Words that page authors put in class and id attributes, by kind of block.
-KINDS = {
-    "menu": "nav navbar navigation menu topnav breadcrumb breadcrumbs tabs toc pagination pager links skip megamenu submenu",
-    "header": "header masthead banner topbar logo brand site branding tagline hero",
-    "footer": "footer foot copyright legal colophon bottom sitemap credits",
-    "side": "sidebar side aside widget related recommended recommendations popular trending rail tags categories archive recent more readmore",
-    "notice": "notice cookie cookies consent gdpr alert popup modal overlay toast paywall disclaimer warning message privacy",
-    "advert": "ad ads advert adverts advertisement sponsor sponsored promo promotion banner outbrain taboola dfp adsense adslot commercial",
-    "form": "form search login signin signup subscribe newsletter subscription contact register poll feedback",
-    "comment": "comment comments discussion replies reply respond disqus thread responses reader readers commentlist",
-    "share": "share sharing social follow facebook twitter buttons toolbar print",
-}
-MAIN = "content article post entry main body story text page copy maincontent articlebody postcontent entrycontent storybody"
-
-
 def labelled_pages(count: int = 420, seed: int = 11) -> list[tuple[str, dict[str, int]]]:
     """Pages in invented words and the label of each block's text."""
     rng = random.Random(seed)
@@ -288,6 +292,8 @@ def labelled_pages(count: int = 420, seed: int = 11) -> list[tuple[str, dict[str
             some[0] = some[0].capitalize()
         some[-1] = some[-1] + f"{serial}"  # makes each block's text unique
         noise = rng.random()
+        if rng.random() < 0.03:
+            some.insert(1, "©")
         if noise < 0.06:
             some = [w.upper() + "!!" for w in some]
         elif noise < 0.12:
@@ -336,7 +342,6 @@ def labelled_pages(count: int = 420, seed: int = 11) -> list[tuple[str, dict[str
                 inner = leaf(rng.choice(["div", "h1", "h2", "p"]), 0, 1, 5, True, rng.random() < 0.5) + (links() if rng.random() < 0.4 else "") + (leaf("p", 0, 3, 10) if rng.random() < 0.4 else "")
             elif kind == "footer":
                 inner = leaf(rng.choice(["p", "div", ""]), 0, 2, 14) + (links() if rng.random() < 0.4 else "")
-                inner = "&copy; " + inner if rng.random() < 0.0 else inner
             elif kind == "side":
                 inner = leaf(rng.choice(["h2", "h3", "h4"]), 0, 1, 4, True) + (links() if rng.random() < 0.6 else paragraphs(0, 1, 3))
             elif kind == "form":
