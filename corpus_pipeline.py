@@ -39,11 +39,10 @@ def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.with_decoded(pieces.with_pieces(docs, model), model)
+    coded = pieces.with_checked_pieces(docs, model, "__pieces")
     return coded.select(
-        "doc_id", "lang", "source", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"),
-        F.col("decoded.ids_crc32").alias("ids_crc32"), F.col("decoded.sha256").alias("decoded_sha256"),
-        (F.col("decoded.text") == F.coalesce("text", F.lit(""))).alias("lossless"),
+        "doc_id", "lang", "source", F.col("__pieces.ids").alias("piece_ids"), F.size("__pieces.ids").cast("long").alias("n_pieces"),
+        "__pieces.ids_crc32", "__pieces.decoded_sha256", "__pieces.lossless",
     )
 
 
