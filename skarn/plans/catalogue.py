@@ -534,3 +534,22 @@ class _engine:
 
     def __exit__(self, *_):
         return False
+
+
+# event-time windows ---------------------------------------------------------
+
+
+@query("window_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, CAST(COUNT(*) AS BIGINT) AS n, ROUND(SUM(value), 4) AS total FROM events GROUP BY 1, 2")
+def window_tumbling(spark, sf_dir):
+    from skarn.streaming import windows
+
+    out = windows.windowed(_t(spark, sf_dir, "events"), "ts", "1 hour", ["event_type"], [F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")])
+    return out.select("window_start", "event_type", "n", "total")
+
+
+@query("window_sessions", "SELECT user_id, MIN(ts) AS window_start, CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT *, SUM(CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events) a) b GROUP BY user_id, s")
+def window_sessions(spark, sf_dir):
+    from skarn.streaming import windows
+
+    out = windows.sessions(_t(spark, sf_dir, "events"), "ts", "30 minutes", ["user_id"], [F.count("*").alias("n")])
+    return out.select("user_id", "window_start", "n")
