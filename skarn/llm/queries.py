@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, html_text, jaccard_join, lang_id, licenses, line_dedup, pieces, quality, token_file, winnow
+from . import common, decontaminate, html_text, jaccard_join, lang_id, licenses, line_dedup, oracles, pieces, quality, token_file, winnow
 from .common import table
 
 
@@ -71,4 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE: dict[str, str] = {"op3_license_scan": licenses.oracle()}
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": oracles.LINE_DEDUP,
+    "op3_license_scan": licenses.oracle(),
+    "op9_jaccard_join": oracles.JACCARD_JOIN,
+}
