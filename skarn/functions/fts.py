@@ -168,3 +168,12 @@ def highlight(text: Column, query: str) -> Column:
         marked = F.concat(F.substring(text, F.lit(1), at - 1), F.lit("**"), F.substring(text, at, F.lit(n)), F.lit("**"), F.substring(text, at + n, F.length(text)))
         text = F.when(at > 0, marked).otherwise(text)
     return text
+
+
+def highlight_sql(text: str, query: str) -> str:
+    """`highlight` as SQL over a text expression."""
+    for word in tokenize_python(query):
+        at, n = f"locate({_quote(word)}, lower({text}))", len(word)
+        marked = f"concat(substring({text}, 1, {at} - 1), '**', substring({text}, {at}, {n}), '**', substring({text}, {at} + {n}))"
+        text = f"(CASE WHEN {at} > 0 THEN {marked} ELSE {text} END)"
+    return text

@@ -59,7 +59,8 @@ def json_object(*pairs: Column) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *items), F.lit("}"))
 
 
-#: SQL forms, registered as temporary functions by the engine.
+#: SQL forms, which the dialect expands in place (so that they can stand in
+#: ORDER BY, where Spark takes no SQL functions).
 SQL_FUNCTIONS = {
     "json_valid": "(j STRING) RETURNS BOOLEAN RETURN try_parse_json(j) IS NOT NULL",
     "json": "(j STRING) RETURNS STRING RETURN CASE WHEN try_parse_json(j) IS NOT NULL THEN j END",

@@ -79,3 +79,15 @@ def box_join(left: DataFrame, right: DataFrame, left_box: Box, right_box: Box, c
     here = (at(F.greatest(la.min_x, rb.min_x)) == F.col("__lcx")) & (at(F.greatest(la.min_y, rb.min_y)) == F.col("__lcy"))
     out = pairs.where(la.intersects(rb) & here)
     return out.drop(*[c for c in out.columns if c.startswith(("__l", "__r"))])
+
+
+_BOX = "(a0 DOUBLE, a1 DOUBLE, a2 DOUBLE, a3 DOUBLE"
+_OTHER = ", b0 DOUBLE, b1 DOUBLE, b2 DOUBLE, b3 DOUBLE"
+#: SQL forms over min_x, max_x, min_y, max_y, expanded by the dialect.
+SQL_FUNCTIONS = {
+    "bbox_intersects": f"{_BOX}{_OTHER}) RETURNS BOOLEAN RETURN a0 <= b1 AND a1 >= b0 AND a2 <= b3 AND a3 >= b2",
+    "bbox_contains": f"{_BOX}{_OTHER}) RETURNS BOOLEAN RETURN a0 <= b0 AND a1 >= b1 AND a2 <= b2 AND a3 >= b3",
+    "bbox_contains_point": f"{_BOX}, x DOUBLE, y DOUBLE) RETURNS BOOLEAN RETURN a0 <= x AND a1 >= x AND a2 <= y AND a3 >= y",
+    "bbox_area": f"{_BOX}) RETURNS DOUBLE RETURN (a1 - a0) * (a3 - a2)",
+    "bbox_distance": f"{_BOX}, x DOUBLE, y DOUBLE) RETURNS DOUBLE RETURN sqrt(power(greatest(a0 - x, 0D, x - a1), 2) + power(greatest(a2 - y, 0D, y - a3), 2))",
+}

@@ -63,7 +63,8 @@ def knn_join(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int)
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-#: SQL forms, registered as temporary functions by the engine.
+#: SQL forms, which the dialect expands in place (so that they can stand in
+#: ORDER BY, where Spark takes no SQL functions).
 SQL_FUNCTIONS = {
     "l2_distance": "(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN size(a) = size(b) THEN sqrt(aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (s, v) -> s + v)) ELSE CAST(raise_error('vector dimensions differ') AS DOUBLE) END",
     "cosine_similarity": "(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN size(a) <> size(b) THEN CAST(raise_error('vector dimensions differ') AS DOUBLE) WHEN aggregate(a, 0D, (s, v) -> s + v * v) = 0 OR aggregate(b, 0D, (s, v) -> s + v * v) = 0 THEN 0D ELSE aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, v) -> s + v) / (sqrt(aggregate(a, 0D, (s, v) -> s + v * v)) * sqrt(aggregate(b, 0D, (s, v) -> s + v * v))) END",

@@ -309,6 +309,8 @@ def test_triggers(e):
     assert rows(e, "SELECT * FROM log ORDER BY id") == [("in", 4), ("in", 5), ("up", 50051)]
     e.execute("DELETE FROM users WHERE user_id = 2")
     assert rows(e, "SELECT order_id FROM orders ORDER BY 1") == [(1,), (2,), (5,)]
+    assert e.list_triggers() == ["a", "b", "c"]
+    e.execute("ALTER TRIGGER b DISABLE")
     e.execute("DROP TRIGGER a")
     e.execute("INSERT INTO orders VALUES (7, 1, 50)")
     assert rows(e, "SELECT COUNT(*) FROM log") == [(3,)]
@@ -335,6 +337,8 @@ def test_vectors(e):
     e.execute("CREATE INDEX ix ON v USING HNSW (emb)")
     got = rows(e, "SELECT id, L2_DISTANCE(emb, [1, 0, 0]) AS d FROM v ORDER BY d LIMIT 2")
     assert got == [(1, 0.0), (3, 1.0)]
+    assert rows(e, "SELECT id FROM v ORDER BY L2_DISTANCE(emb, [0, 1, 0]), id LIMIT 1") == [(2,)]
+    assert rows(e, "SELECT id FROM v WHERE COSINE_SIMILARITY(emb, [1, 0, 0]) > 0.9") == [(1,)]
     assert rows(e, "SELECT VECTOR_COSINE_SIMILARITY(emb, [0, 0, 0]) FROM v WHERE id = 1") == [(0.0,)]
     with pytest.raises(Exception, match="dimensions"):
         e.execute("INSERT INTO v VALUES (4, [1, 2])")
@@ -358,12 +362,18 @@ def test_full_text(e):
     assert rows(e, "SELECT title FROM d WHERE body MATCH '\"hello world\"'") == [("Hello",)]
     assert rows(e, "SELECT title FROM d WHERE d MATCH 'test -peace'") == [("Hello",)]
     assert rows(e, "SELECT title FROM d WHERE d MATCH 'title:third OR peace' ORDER BY title") == [("Other",), ("Third",)]
+    assert rows(e, "SELECT HIGHLIGHT(body, 'world test') FROM d WHERE title = 'Hello'") == [("Hello **World**! This is a **test**.",)]
+    e.execute("UPDATE d SET body = 'peace at last' WHERE title = 'Third'")
+    e.execute("DELETE FROM d WHERE title = 'Other'")
+    assert rows(e, "SELECT title FROM d WHERE d MATCH 'peace'") == [("Third",)]
 
 
 def test_rtree(e):
     e.execute("CREATE VIRTUAL TABLE r USING RTREE(id, min_x, max_x, min_y, max_y)")
     e.execute("INSERT INTO r VALUES (1,0,10,0,10),(2,5,15,5,15),(3,20,30,20,30)")
     assert rows(e, "SELECT id FROM r WHERE min_x <= 12 AND max_x >= 4 AND min_y <= 12 AND max_y >= 4 ORDER BY id") == [(1,), (2,)]
+    assert rows(e, "SELECT id FROM r WHERE bbox_intersects(min_x, max_x, min_y, max_y, 4, 12, 4, 12) ORDER BY id") == [(1,), (2,)]
+    assert rows(e, "SELECT id FROM r ORDER BY bbox_distance(min_x, max_x, min_y, max_y, 0, 0), id LIMIT 2") == [(1,), (2,)]
 
 
 def test_any_all_and_recursive(e):
