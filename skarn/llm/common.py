@@ -4,6 +4,7 @@ intermediates in the cluster's shared folder, shipping this package."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -91,3 +92,14 @@ def id_bucket(col: str, modulus: int):
 def hash_order(col: str):
     """A fixed pseudo-random order of rows by id, for bounded samples."""
     return F.xxhash64(F.lit("sample"), F.col(col))
+
+
+def trim() -> None:
+    """Give free memory of a Python worker back: workers outlive their tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

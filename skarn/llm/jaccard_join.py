@@ -3,27 +3,33 @@
 A document's tokens are the 64-bit hashes of its distinct K-word shingles.  Two
 documents link at a Jaccard similarity of SIMILAR percent or more.
 
-1. Documents of equal token sets form a class; one row, the smallest doc_id,
-   stands for it from here on.
+1. Documents of equal token sets form a class, which is one node from here on.
 2. Order A (a hash) gives each large set a prefix of p = n - ceil(s n) + 1
    tokens; small sets put all tokens forward.  A filter of bits seen twice,
    of bounded size, finds the tokens that can occur in two classes: only they
    are shuffled.
 3. Order B (exact document frequency, rare first) ranks the tokens that were put
-   forward, and only a prefix of that ranking is indexed.  For small sets this
-   is the classical prefix, and linking sets must share one of its tokens.  For
+   forward, and only a prefix of that ranking counts.  For small sets this is
+   the classical prefix, and linking sets must share one of its tokens.  For
    large sets the tokens put forward are a random sample of the union, so of
-   linking sets they agree in 75 % on average; the indexed prefix leaves out the
-   most frequent ones, as many as stand more than six standard deviations below
-   that.  So passages that many documents share do not pair them.
-4. In each token's group all members are compared with one hub.  What links is
-   joined into components; then members of one group that are in different
-   components are compared.  Members of one component never are.
-5. A compared pair must also share a prefix token under order C (another hash)
+   linking sets they agree in 75 % on average; the prefix leaves out the most
+   frequent ones, as many as stand more than six standard deviations below that.
+   Classes that share no such token have no partner and drop out.
+4. For the rest, order B ranks the whole sets, and the classical prefix of p
+   tokens is indexed.  Passages that many documents share come last in that
+   order and do not pair them; a set with more than a quarter of tokens of its
+   own is not indexed at all.  A token pairs two sets only if it can be the
+   first that they share: what follows its places in both must suffice, and
+   parity bits of the two sets must not differ in more places than they may.
+5. In each token's group all members are compared with one hub (in STARS rounds):
+   a member with few tokens of its own, as that is the nearest to what a family
+   of copies has in common.  What links is joined into components; then members of
+   one group that are still in different components are compared.  Members of
+   one component never are.
+6. A compared pair must also share a prefix token under order C (another hash)
    before its whole sets are intersected.  That count is exact.
 
-Texts are read three times, and sets are built only for classes that share an
-indexed token.  Sets up to SMALL tokens use the first scheme, sets above
+Texts are read three times, and sets are built only for classes left after 3.  Sets up to SMALL tokens use the first scheme, sets above
 SMALL * 0.75 the second; sets in between use both, so that any two sets that can
 link meet in one scheme.
 
@@ -48,10 +54,16 @@ from . import common
 
 K, SIMILAR = 5, 75
 SMALL = 86
+#: Words of 64 bits in a set's parity.
+PARITY = 4
+#: Rounds in which each token's group is compared with one hub, before the rest.
+STARS = 1
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
 NO_ID = (1 << 63) - 1
 #: Texts hashed together; bounds the working arrays of a worker.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
+#: A table of so many ids is broadcast; beyond that Spark shuffles both sides.
+BROADCAST_IDS = 1_000_000
 
 _U = np.uint64
 _rng = np.random.default_rng(20240501)
@@ -62,7 +74,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _ODD = _rng.integers(1, 1 << 63, 8, dtype=np.uint64) | _U(1)
 _SALT_SMALL, _SALT_A, _SALT_C = (int(x) for x in _rng.integers(1, 1 << 62, 3))
-_power = np.ones(64, np.uint64)
+_power = np.ones(1, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -179,6 +191,8 @@ def _positions(bits: int):
                 "once": [low[start[i] : stop[i]].tobytes() for i in rows],
                 "twice": [low[start[i] : stop[i]][counts[start[i] : stop[i]] > 1].tobytes() for i in rows],
             })
+        del pos, counts, low, found
+        common.trim()
 
     return build
 
@@ -223,7 +237,6 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         near = both(e)
         low = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = near.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
-        large = common.materialise(large, name)
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         linked = down.join(low, "u")
@@ -237,8 +250,31 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return e.select(F.col("b").alias("node"), F.col("a").alias("comp"))
 
 
-def _compatible(a: str, b: str) -> Column:
-    return 100 * F.least(a, b) >= SIMILAR * F.greatest(a, b)
+def _compatible() -> Column:
+    """Whether two sets that have this key as their first common one in order B
+    can link: their sizes, what can follow the key's places in both, and their
+    parities, which differ in no more bits than the sets do in tokens."""
+    left = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    sizes = 100 * F.least("n", "n2") >= SIMILAR * F.greatest("n", "n2")
+    differ = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"s{k}b"))) for k in range(PARITY)), F.lit(0))
+    both = F.col("n") + F.col("n2")
+    return sizes & ((100 + SIMILAR) * left >= SIMILAR * both) & ((100 + SIMILAR) * differ <= (100 - SIMILAR) * both)
+
+
+def _signature(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
+def _node(signature: bytes) -> int:
+    """The number of a class in the graph of links."""
+    return int.from_bytes(signature[:8], "little", signed=True)
+
+
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY bits whether an odd number of tokens fall on it."""
+    bits = 64 * PARITY
+    odd = np.bincount((tokens.view(np.uint64) % _U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -252,6 +288,16 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out.where(100 * F.col("both") >= SIMILAR * (F.col("total") - F.col("both"))).select("a", "b")
 
 
+def _rare_first(index: DataFrame, owner: list[str], put: Column, most: Column) -> DataFrame:
+    """Rows of an index (key, rep, n) whose key is among the `most` rarest of the
+    `put` keys of its owner.  Keys of one owner alone come first in the order;
+    they have no rows in the result, but count in the others' `place` (from 0)."""
+    df = index.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy(*owner)
+    ranked = index.join(df, "key").withColumn("rank", F.row_number().over(own.orderBy("df", "key"))).withColumn("repeated", F.count("*").over(own))
+    return ranked.withColumn("place", put - F.col("repeated") + F.col("rank") - 1).where(F.col("place") < most)
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     spark = docs.sparkSession
@@ -273,55 +319,77 @@ def join(docs: DataFrame) -> DataFrame:
             for tokens in shingles(pdf["text"]):
                 a, b = forward(tokens)
                 n.append(len(tokens))
-                sig.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
+                sig.append(_signature(tokens))
                 small.append(suspects(a))
                 large.append(suspects(b))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": n, "sig": sig, "small": small, "large": large})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": n, "sig": sig, "rep": list(map(_node, sig)), "small": small, "large": large})
+        common.trim()
 
-    profile = common.materialise(docs.mapInPandas(profile_of, "doc_id long, n long, sig binary, small array<long>, large array<long>"), "profile")
-    reps = profile.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("small").alias("small"), F.first("large").alias("large"))
+    profile = common.materialise(docs.mapInPandas(profile_of, "doc_id long, n long, sig binary, rep long, small array<long>, large array<long>"), "profile")
+    reps = profile.where("n > 0").groupBy("sig").agg(F.first("rep").alias("rep"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("small").alias("small"), F.first("large").alias("large"))
     reps = common.materialise(reps, "reps")
 
-    # Order B: exact document frequencies of the suspected tokens.
+    # Order B on the tokens put forward: classes that can have a partner at all.
     index = reps.select("rep", "n", F.lit(False).alias("is_large"), F.explode("small").alias("key")).unionAll(reps.select("rep", "n", F.lit(True).alias("is_large"), F.explode("large").alias("key")))
-    index = common.materialise(index, "index")
-    df = index.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    own = Window.partitionBy("rep", "is_large")
     put, most = indexed(F.col("n"), F.col("is_large"))
-    ranked = index.join(df, "key").withColumn("rank", F.row_number().over(own.orderBy("df", "key"))).withColumn("repeated", F.count("*").over(own))
-    # Tokens of one document alone come first in order B.
-    kept = ranked.where(F.col("rank") <= most - (put - F.col("repeated"))).select("key", "rep", "n")
-    kept = common.materialise(kept, "kept")
-    hubs = kept.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("o"), F.col("rep").alias("rep"), F.col("n").alias("n"))).alias("hub"), F.count("*").alias("members"))
-    hubs = common.materialise(hubs.where("members > 1").select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
-    star = kept.join(hubs, "key").where((F.col("rep") != F.col("hub")) & _compatible("n", "hub_n"))
-    star = common.materialise(star.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "star")
-
-    live = kept.join(hubs.select("key"), "key", "left_semi").select(F.col("rep").alias("live")).distinct()
-    readers = docs.join(live, F.col("doc_id") == F.col("live"), "left_semi")
+    live = _rare_first(common.materialise(index, "index"), ["rep", "is_large"], put, most).select("key", "rep")
+    shared_keys = live.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    live = live.join(shared_keys, "key", "left_semi").select("rep").distinct()
+    live = common.materialise(reps.select("rep", "first").join(live, "rep", "left_semi"), "live")
+    nodes, firsts = live.select("rep"), live.select("first")
+    if live.count() <= BROADCAST_IDS:
+        nodes, firsts = F.broadcast(nodes), F.broadcast(firsts)
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            tokens = [_as_long(t[np.argsort(mix(t ^ _U(_SALT_C)))]) for t in shingles(pdf["text"])]
-            yield pd.DataFrame({"rep": pdf["doc_id"], "n": [len(t) for t in tokens], "tokens": tokens})
-
-    sets = common.materialise(readers.mapInPandas(sets_of, "rep long, n long, tokens array<long>"), "sets")
-
-    edges = common.materialise(_verified(star, sets), "edges")
-    first = components(edges, "round1")
-    labels = first.select(F.col("node").alias("rep"), "comp")
-    at = kept.join(labels, "rep", "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-    at = common.materialise(at, "at")
-    mixed = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    open_rows = at.join(mixed, "key", "left_semi")
-    other = open_rows.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    rest = open_rows.join(other, "key").where((F.col("rep") < F.col("rep2")) & (F.col("comp") != F.col("comp2")) & _compatible("n", "n2"))
-    rest = rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = common.materialise(_verified(rest, sets), "more")
-    if not more.isEmpty():
-        first = components(edges.unionAll(more), "round2")
-    final = first.select(F.col("node").alias("rep"), "comp")
-    classes = reps.select("sig", "rep").join(final, "rep", "left").select("sig", F.coalesce("comp", "rep").alias("component"))
+            plain = list(shingles(pdf["text"]))
+            tokens = [_as_long(t[np.argsort(mix(t ^ _U(_SALT_C)))]) for t in plain]
+            parity = np.stack([_parity(t) for t in tokens]) if len(tokens) else np.zeros((0, PARITY), np.int64)
+            yield pd.DataFrame({"rep": [_node(_signature(t)) for t in plain], "n": [len(t) for t in tokens], "tokens": tokens, **{f"s{k}": parity[:, k] for k in range(PARITY)}})
+        common.trim()
+
+    readers = docs.join(firsts, F.col("doc_id") == F.col("first"), "left_semi")
+    sets = readers.mapInPandas(sets_of, "rep long, n long, tokens array<long>" + "".join(f", s{k} long" for k in range(PARITY)))
+    # Rows of one id with other texts are not of a live class; repeated rows are.
+    sets = common.materialise(sets.join(nodes, "rep", "left_semi"), "sets")
+    if sets.count() > live.count():
+        sets = common.materialise(sets.dropDuplicates(["rep"]), "sets")
+
+    # Order B on the whole sets of those: the classical prefix.
+    index = sets.select("rep", "n", F.explode("tokens").alias("key"))
+    kept = _rare_first(index, ["rep"], F.col("n"), F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1).select("key", "rep", "n", "place")
+    signs = [f"s{k}" for k in range(PARITY)]
+    kept = common.materialise(kept.join(sets.select("rep", *signs), "rep"), "kept")
+
+    edges: DataFrame | None = None
+    labels: DataFrame | None = None
+    done: DataFrame | None = None
+    for turn in range(STARS + 1):
+        at = kept.withColumn("comp", F.col("rep")) if labels is None else kept.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        mixed = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct((F.col("place") if turn % 2 == 0 else F.lit(0)).alias("o"), F.xxhash64(F.lit(turn), "rep").alias("h"), "rep", "n", "place", "comp", *signs)).alias("hub")).where("c0 <> c1")
+        if turn < STARS:  # all members with one hub
+            other = mixed.select("key", F.col("hub.rep").alias("rep2"), F.col("hub.n").alias("n2"), F.col("hub.place").alias("place2"), F.col("hub.comp").alias("comp2"), *[F.col(f"hub.{c}").alias(f"{c}b") for c in signs])
+        else:  # members of different components
+            at = common.materialise(at.join(mixed.select("key"), "key", "left_semi"), "open")
+            other = at.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("comp").alias("comp2"), *[F.col(c).alias(f"{c}b") for c in signs])
+        pairs = at.join(other, "key").where((F.col("comp") != F.col("comp2")) & _compatible())
+        if turn == STARS:
+            pairs = pairs.where("rep < rep2")
+        pairs = pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = common.materialise(pairs, "pairs")
+        found = common.materialise(_verified(pairs, sets), "edges")
+        done = pairs if done is None else done.unionAll(pairs)
+        if edges is not None and found.isEmpty():
+            continue
+        edges = found if edges is None else edges.unionAll(found)
+        labels = components(edges, "labels").select(F.col("node").alias("rep"), "comp")
+    # A component's name is its smallest doc_id.
+    member = labels.unionAll(labels.select(F.col("comp").alias("rep"), "comp").distinct())
+    low = member.join(reps.select("rep", "first"), "rep").groupBy("comp").agg(F.min("first").alias("component"))
+    named = member.join(low, "comp").select("rep", "component")
+    classes = reps.select("sig", "rep", "first").join(named, "rep", "left").select("sig", F.coalesce("component", "first").alias("component"))
     out = profile.select("doc_id", "n", "sig").join(classes, "sig", "left")
     real = lambda c: F.when(c != NO_ID, c)
     return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "doc_id")).alias("component_id"))

@@ -32,7 +32,7 @@ def corpus(spark):
     rng = random.Random(5)
     shared = [prose(rng, 12) for _ in range(5)]
     base = prose(rng, 120)
-    texts = ["", None, " ", "\n\n", "one", "A b c", "  Lead and trail \t", "é ü 日本語 ▁ x", "<|endoftext|> it's 12  34", "x" * 3000]
+    texts = ["", None, " ", "\n\n", "one", "A b c", "  Lead and trail \t", "é ü 日本語 ▁ x", "<|endoftext|> it's 12  34", "x" * 3000, prose(rng, 30_000)]
     for k in range(40):
         lines = [prose(rng, rng.randint(1, 30)) for _ in range(rng.randint(1, 5))]
         if k % 2:
@@ -290,6 +290,21 @@ def shingle_set(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
 
 
+def test_shingles_count_exactly():
+    rng = random.Random(3)
+    parts = ["he", "or", "the", "r", "é", "HE", "o"]
+    texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 400))) for _ in range(60)]
+    texts += ["heor orhe hreo roeh eohr", "a" * 500 + " b c d e f", "a" * 499 + "b b c d e f", "\t", "x\x0by z"]
+    sets = [shingle_set(t) for t in texts]
+    tokens = list(jaccard_join.shingles(texts))
+    assert [len(t) for t in tokens] == [len(s) for s in sets]
+    value = {}
+    for s in set().union(*sets):
+        value[s] = next(jaccard_join.shingles([" ".join(s)]))[0]
+    assert len(set(value.values())) == len(value)
+    assert all({value[x] for x in s} == set(t.tolist()) for s, t in zip(sets, tokens))
+
+
 def brute_components(docs):
     ids = [(1 << 62) if i is None else i for i, _ in docs]
     sets = [shingle_set(t) for _, t in docs]
@@ -308,15 +323,32 @@ def brute_components(docs):
     low = {}
     for k in range(len(docs)):
         low[find(k)] = min(low.get(find(k), 1 << 63), ids[k])
-    return {docs[k][0]: (len(sets[k]), docs[k][0] if docs[k][0] is None else low[find(k)]) for k in range(len(docs))}
+    return sorted((docs[k][0] or -1, len(sets[k]), low[find(k)] if low[find(k)] < 1 << 62 else None) for k in range(len(docs)))
+
+
+def rows_of(df):
+    return sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in df.collect())
 
 
 def test_jaccard_join(spark, corpus, docs, empty):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(corpus).collect()}
+    got = rows_of(jaccard_join.join(corpus))
     assert got == brute_components(docs)
     assert jaccard_join.join(empty).count() == 0
-    kept = {r.doc_id for r in jaccard_join.keep_one(corpus).collect()}
-    assert kept == {i for i, (_, c) in got.items() if i is None or i == c}
+    kept = {r.doc_id or -1 for r in jaccard_join.keep_one(corpus).collect()}
+    assert kept == {i for i, _, c in got if i == -1 or i == c}
+
+
+def test_jaccard_join_repeated_rows_and_ids(spark):
+    rng = random.Random(31)
+    base = [prose(rng, 80).split() for _ in range(4)]
+    docs = []
+    for k in range(60):
+        words = list(rng.choice(base))
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(len(words))] = f"w{k}"
+        docs += [(k % 23, " ".join(words))] * rng.randint(1, 3)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows_of(jaccard_join.join(df)) == brute_components(docs)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -332,8 +364,7 @@ def test_jaccard_join_family(spark, seed):
         docs.append((k, " ".join(words[: rng.choice([150, 150, 120, 130])])))
     docs += [(100 + k, passage + " " + prose(rng, rng.randint(1, 60))) for k in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(df).collect()}
-    assert got == brute_components(docs)
+    assert rows_of(jaccard_join.join(df)) == brute_components(docs)
 
 
 def test_components(spark):
