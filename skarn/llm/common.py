@@ -50,14 +50,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Delete what materialise() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in {os.path.dirname(f) for f in df.inputFiles()}:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 _shipped: set[str] = set()
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
