@@ -96,8 +96,8 @@ def _buckets(docs: DataFrame, rows: int) -> tuple[Column, Column]:
     return F.coalesce(F.when(doc.isNotNull(), q), F.lit(-1)), F.coalesce(F.when(doc.isNotNull(), s), F.lit(0))
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """docs(doc_id, *carried) with next_<c>: each column of the next document in
+def with_next(docs: DataFrame, prepare, carried: list[str]) -> DataFrame:
+    """prepare(docs) with next_<c> of the columns `carried`: each column of the next document in
     descending doc_id (text among equal ids), and after the last of the first.
 
     Rows are dealt to buckets of neighbouring ids and sorted there.  The first
@@ -121,17 +121,17 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     )
     if rows // BUCKET_ROWS <= 1_000_000:  # as many links as buckets, about; else Spark shuffles them
         links = F.broadcast(links)
-    own = docs.select("doc_id", *carried, q.alias("q"), s.alias("s"), F.lit(0).alias("ghost_row"))
-    ghosts = docs.join(links, docs["doc_id"].eqNullSafe(F.col("ghost"))).select(docs["doc_id"], *carried, F.col("gq").alias("q"), F.col("gs").alias("s"), F.lit(1).alias("ghost_row"))
+    own = docs.select("doc_id", "text", q.alias("q"), s.alias("s"), F.lit(0).alias("ghost_row"))
+    ghosts = docs.join(links, docs["doc_id"].eqNullSafe(F.col("ghost"))).select(docs["doc_id"], "text", F.col("gq").alias("q"), F.col("gs").alias("s"), F.lit(1).alias("ghost_row"))
     order = Window.partitionBy("q", "s").orderBy("ghost_row", F.desc("doc_id"), "text")
-    out = own.unionAll(ghosts)
+    out = prepare(own.unionAll(ghosts))
     return out.select("doc_id", "ghost_row", *carried, *[F.lead(c).over(order).alias(f"next_{c}") for c in carried]).where("ghost_row = 0").drop("ghost_row")
 
 
 def compare(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    near = with_next(with_fingerprint(texts, "text", "fp"), ["text", "fp"])
+    near = with_next(texts, lambda df: with_fingerprint(df, "text", "fp"), ["text", "fp"])
     n, m = F.length("text"), F.floor(F.length("text") / 3).cast("int")
     near = near.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - m), F.substring("next_text", F.lit(1), m)))
     near = near.select("doc_id", n.cast("long").alias("n_chars"), "edited", "fp", hashes(F.col("next_fp")).alias("next_h"), hashes(F.col("fp")).alias("h"))
