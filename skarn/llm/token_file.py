@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .word_cache import WordCache
 
 #: Fixed values of the format: bits of an id for each selector.
 BITS = (60, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -39,8 +40,8 @@ ESCAPE = 0
 MAGIC = b"S8B1"
 BLOCK_IDS = 1 << 16
 END_ID = 0
-#: Texts encoded together.
-STEP = 1024
+#: Characters of texts encoded together.
+STEP = 1_000_000
 #: Selectors worth trying, densest first; one id in a word is the escape.
 _TRY = tuple((s, COUNTS[s], BITS[s]) for s in range(len(BITS) - 1, 1, -1))
 
@@ -154,7 +155,7 @@ class CachedEncoder:
     changing its ids; texts in which a space stands otherwise go to the library
     whole."""
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, keep: int = 400_000, trial: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -163,7 +164,7 @@ class CachedEncoder:
         self.spaced = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
             self.spaced[i] = token[:1] == "\u0120"  # the byte-level alphabet's space
-        self.entries, self.cache, self.seen = entries, {}, {}
+        self.cache = WordCache(keep, trial)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -188,33 +189,33 @@ class CachedEncoder:
             parts[0] = "\n" + parts[0]  # the first piece has no space before it
             need.update(parts)
             split.append(parts)
-        if len(self.cache) > self.entries:
-            self.seen, self.cache = self.cache, {}  # what is used again comes back from there
-        cache, seen = self.cache, self.seen
-        need = [p for p in need if p not in cache]
-        if seen:
-            cache.update((p, seen[p]) for p in need if p in seen)
-            need = [p for p in need if p not in seen]
-        first, rest = [], []
-        for p in need:
-            bare = p[1:] if p[:1] == "\n" else p
-            if not bare or bare[0].isspace() or bare[-1].isspace():
-                cache[p] = None
-            elif bare is p:
-                rest.append(p)
-            else:
-                first.append(p)
-        cache.update(zip(first, self._library([p[1:] for p in first])))
-        cache.update(zip(rest, self._spaced(rest)))
+        table = self.cache.resolve(need, self._values)
         out: list[bytes | None] = []
         for parts in split:
             try:
-                out.append(b"".join(map(cache.__getitem__, parts)))
+                out.append(b"".join(map(table.__getitem__, parts)))
             except TypeError:  # a space that does not part two words
                 out.append(None)
+        self.cache.settle()
         whole = iter(self._library([t for t, o in zip(texts, out) if o is None]))
         return [np.frombuffer(next(whole) if o is None else o, "<u4") for o in out]
 
+    def _values(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of pieces; None for a piece at a space that does not part two words."""
+        found: dict[str, bytes | None] = {}
+        first, rest = [], []
+        for p in pieces:
+            bare = p[1:] if p[:1] == "\n" else p
+            if not bare or bare[0].isspace() or bare[-1].isspace():
+                found[p] = None
+            elif bare is p:
+                rest.append(p)
+            else:
+                first.append(p)
+        found.update(zip(first, self._library([p[1:] for p in first])))
+        found.update(zip(rest, self._spaced(rest)))
+        return [found[p] for p in pieces]
+
 
 _encoders: dict[str, CachedEncoder] = {}
 
@@ -231,6 +232,23 @@ NO_ID = -(1 << 63)
 BLOCKS = "part int, start_in_part long, n_ids long, doc_ids array<long>, block binary"
 
 
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts of several batches together, STEP characters or a little more."""
+    ids: list[int] = []
+    texts: list[str] = []
+    size = 0
+    for pdf in batches:
+        ids += pdf["doc_id"].astype("Int64").fillna(NO_ID).tolist()
+        own = [t or "" for t in pdf["text"]]
+        texts += own
+        size += sum(map(len, own))
+        if size >= STEP:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if texts:
+        yield ids, texts
+
+
 def _blocks(encode: Callable[[list[str]], list[np.ndarray]], end_id: int, block_ids: int):
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -243,17 +261,14 @@ def _blocks(encode: Callable[[list[str]], list[np.ndarray]], end_id: int, block_
         def flush() -> pd.DataFrame:
             return pd.DataFrame({"part": [part], "start_in_part": [before], "n_ids": [held], "doc_ids": [np.array(ids, np.int64)], "block": [write_block(docs)]})
 
-        for pdf in batches:
-            texts = [t or "" for t in pdf["text"]]
-            doc_ids = pdf["doc_id"].astype("Int64").fillna(NO_ID).tolist()
-            for k in range(0, len(texts), STEP):
-                for doc, own in zip(doc_ids[k : k + STEP], encode(texts[k : k + STEP])):
-                    ids.append(doc)
-                    docs.append(np.append(own, np.uint32(end_id)))
-                    held += len(own) + 1
-                    if held >= block_ids:
-                        yield flush()
-                        before, held, ids, docs = before + held, 0, [], []
+        for doc_ids, texts in _gathered(batches):
+            for doc, own in zip(doc_ids, encode(texts)):
+                ids.append(doc)
+                docs.append(np.append(own, np.uint32(end_id)))
+                held += len(own) + 1
+                if held >= block_ids:
+                    yield flush()
+                    before, held, ids, docs = before + held, 0, [], []
         if docs:
             yield flush()
 
@@ -286,12 +301,14 @@ def read_tokens(spark, path: str) -> DataFrame:
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for doc_ids, at, block in zip(pdf["doc_ids"], pdf["start"], pdf["block"]):
-                docs = list(read_block(block))
-                n = np.array([len(d) for d in docs], np.int64)
+                _, counts, words = open_block(block)
+                raw = memoryview(unpack(words).astype("<u4")).cast("B")
+                n = counts.astype(np.int64)
+                ends = (4 * np.cumsum(n)).tolist()
                 yield pd.DataFrame({
                     "doc_id": pd.Series(doc_ids, dtype="Int64").replace(NO_ID, pd.NA),
                     "start": at + np.cumsum(n) - n, "n_tokens": n,
-                    "ids_crc32": np.array([zlib.crc32(d.astype("<u4").tobytes()) for d in docs], np.int64),
+                    "ids_crc32": np.array([zlib.crc32(raw[a:b]) for a, b in zip([0, *ends], ends)], np.int64),
                 })
 
     at = blocks.join(F.broadcast(parts), F.col("part") == F.col("of")).select("doc_ids", (F.col("part_start") + F.col("start_in_part")).alias("start"), "block")
