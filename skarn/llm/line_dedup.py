@@ -35,7 +35,6 @@ from . import common
 MIN_CHARS, MIN_DOCS = 20, 3
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 27
 SEGMENT_BITS = 1 << 16
-PROBES = 2
 STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -58,10 +57,10 @@ def keys_of(text: str | None, min_chars: int) -> set[bytes]:
 
 
 def probes(keys: list[bytes], bits: int) -> np.ndarray:
-    """PROBES bit positions for each key."""
+    """Two bit positions for each key."""
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
     mask = np.uint64(bits - 1)
-    return np.stack([h & mask, (h >> np.uint64(32)) & mask] if bits <= 1 << 32 else [h & mask, (h * np.uint64(0x9E3779B97F4A7C15)) & mask], axis=1).astype(np.int64)
+    return np.stack([h & mask, (h >> np.uint64(32)) & mask], axis=1).astype(np.int64)
 
 
 def _filters(bits: int, min_chars: int):
@@ -81,6 +80,7 @@ def _filters(bits: int, min_chars: int):
             np.bitwise_or.at(seen[1], byte[again], bit[again])
             np.bitwise_or.at(seen[0], byte, bit)
         step = SEGMENT_BITS // 8
+        common.trim()
         used = np.flatnonzero(seen[0].reshape(-1, step).any(axis=1))
         for k in range(0, len(used), 256):
             part = used[k : k + 256]
@@ -171,7 +171,11 @@ def _rewritten(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
         found.groupBy("line", "doc_id").agg(F.lit(1).alias("one"))
         .groupBy("line").agg(F.count("one").alias("docs"), F.max("doc_id").alias("owner"))
         .where(F.col("docs") >= min_docs)
+        .select("line", "owner")
     )
+    # Written, so that the join below deals both sides anew and a line that many
+    # documents hold can be split over tasks.
+    repeats = common.materialise(repeats, "repeats")
     drops = (
         found.join(repeats, "line")
         .where(~F.col("doc_id").eqNullSafe(F.col("owner")))
