@@ -4,10 +4,9 @@ The vocabulary and merge order come from a SentencePiece BPE model file.  A text
 is cut into units (a run of spaces and the word after it); no piece of the model
 crosses a unit.  In a unit, the adjacent pair whose merged piece has the best
 score is merged first, the leftmost of equal ones, until no pair is left.  With
-dropout, a candidate merge is skipped when the keyed hash of (seed, variant,
-unit, start, middle, end) falls below the dropout rate.  A document's variant is
-a keyed hash of its id, so documents segment a word in VARIANTS different ways,
-repeatably, and units are encoded once for each variant while they are cached.
+dropout, a candidate merge is skipped when the keyed hash of (seed, doc_id,
+offset of the unit in the text, start, middle, end) falls below the dropout
+rate: every occurrence of a word is drawn anew, and repeatably.
 
 Units are encoded many at a time: symbols stand in a matrix, a hashed table
 gives the rank of every adjacent pair, and each round merges the best pair of
@@ -18,7 +17,8 @@ space, and the space put before the text is taken off.  A literal U+2581 in a
 text is written as byte pieces, so that every text comes back unchanged.
 
 Defined cases: a null text is encoded as empty; an empty text has no pieces; a
-null doc_id has a variant of its own.
+null doc_id is drawn as an id of its own; rows with the same id and text are
+encoded alike.
 """
 
 from __future__ import annotations
@@ -36,17 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .word_cache import WordCache
 
-DROPOUT, SEED, VARIANTS = 0.1, 20240229, 4
+#: A document and a place in it have one of VARIANTS hashes.
+DROPOUT, SEED, VARIANTS = 0.1, 20240229, 1 << 64
 MARK = "▁"
 UNIT = re.compile(r" *[^ ]+| +\Z")
 #: Units of more symbols are encoded one by one.
 LONG = 48
-#: Units kept and on trial, over all variants.
-KEEP, TRIAL = 300_000, 160_000
-#: Texts encoded together.
-STEP = 500
+#: Texts encoded together, and units merged together.
+STEP, ROWS = 500, 4096
 NONE = np.int64(1) << np.int64(40)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -115,7 +113,7 @@ class Model:
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """rank * size + piece of each pair, or NONE."""
         ok = (left < self.size) & (right < self.size) & (left >= 0) & (right >= 0)
-        keys = np.where(ok, left * self.size + right, -2)
+        keys = np.where(ok, left.astype(np.int64) * self.size + right, -2)
         slot = self._slot(keys)
         found = self.keys[slot]
         out = np.where(found == keys, self.values[slot], NONE)
@@ -131,8 +129,17 @@ class Model:
         return out
 
 
+def _places(docs: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The variant of each place: a hash of its document's hash and offset."""
+    x = (docs ^ (offsets.astype(np.uint64) * _M2)) * _M1
+    x ^= x >> np.uint64(31)
+    x *= _M2
+    return x ^ (x >> np.uint64(29))
+
+
 def _unit_key(unit: str, variant: int, seed: int) -> int:
-    return xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"), seed=(seed * 1_000_003 + variant) & (2**64 - 1))
+    """The key of a unit's draws at a place; the place tells units apart."""
+    return (variant ^ (seed * 1_000_003)) & (2**64 - 1)
 
 
 def _span_hash(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -145,12 +152,11 @@ def _span_hash(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.n
 
 
 class Encoder:
-    """Encodes units; keeps those it has seen for each variant."""
+    """Encodes every occurrence of a unit by its own draws."""
 
     def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
         self.model, self.seed, self.variants = Model(path), seed, variants
         self.limit = np.uint64(min(2**64 - 1, int(dropout * 2.0**64)))
-        self.caches = [WordCache(KEEP // variants, TRIAL // variants) for _ in range(variants)]
 
     def variant(self, doc_id: int | None) -> int:
         return xxhash.xxh3_64_intdigest(repr(doc_id).encode(), seed=self.seed) % self.variants
@@ -204,18 +210,17 @@ class Encoder:
             offer(i)
         return self._finish([s for s in sym if s >= 0])
 
-    def _matrix(self, units: list[str], keys: list[int]) -> list[bytes]:
+    def _matrix(self, units: list[str], keys: np.ndarray) -> list[bytes]:
         """Units of similar length, merged round by round."""
         m = self.model
         n, lengths = len(units), np.array([len(u) for u in units])
         width = int(lengths.max())
         cps = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         fill = np.arange(width) < lengths[:, None]
-        sym = np.full((n, width), -1, np.int64)
+        sym = np.full((n, width), -1, np.int32)
         sym[fill] = m.chars[cps]
-        start = np.where(fill, np.arange(width), lengths[:, None])
-        start = np.concatenate([start, lengths[:, None]], axis=1)  # also the end of the last
-        key = np.array(keys, np.uint64)
+        start = np.minimum(np.arange(width + 1, dtype=np.int16), lengths[:, None].astype(np.int16))  # also the end of the last
+        key = keys
         out: list[bytes] = [b""] * n
         rows = np.arange(n)
 
@@ -252,17 +257,23 @@ class Encoder:
             r = np.arange(len(rows))
             # Close the gap of the right symbol of each merged pair.
             w = sym.shape[1]
-            take = np.arange(w - 1) + (np.arange(w - 1) > at[:, None])
-            sym = np.take_along_axis(sym, take, 1)
+            gap = at + 1
+            keep = np.ones(len(r) * (w + 1), bool)
+            keep[r * (w + 1) + gap] = False
+            start = start.ravel()[keep].reshape(-1, w)
+            keep = np.ones(len(r) * w, bool)
+            keep[r * w + gap] = False
+            sym = sym.ravel()[keep].reshape(-1, w - 1)
             sym[r, at] = best % m.size
-            start = np.take_along_axis(start, np.arange(w) + (np.arange(w) > at[:, None]), 1)
             count -= 1
             if w == 2:
                 value = np.full((len(rows), 1), NONE)
-                sym = np.concatenate([sym, np.full((len(rows), 1), -1)], 1)
+                sym = np.concatenate([sym, np.full((len(rows), 1), -1, np.int32)], 1)
                 start = np.concatenate([start, start[:, -1:]], 1)
                 continue
-            value = np.take_along_axis(value, np.arange(w - 2) + (np.arange(w - 2) > at[:, None]), 1)
+            keep = np.ones(len(r) * (w - 1), bool)
+            keep[r * (w - 1) + np.minimum(gap, w - 2)] = False
+            value = value.ravel()[keep].reshape(-1, w - 2)
             for shift in (-1, 0):
                 i = at + shift
                 own = np.flatnonzero((i >= 0) & (i + 1 < count))
@@ -273,37 +284,38 @@ class Encoder:
             value[inside, at[inside]] = NONE
         return out
 
-    def units(self, units: list[str], variant: int) -> list[bytes]:
-        out: dict[str, bytes] = {}
-        short = sorted((u for u in units if len(u) <= LONG), key=len)
-        for k in range(0, len(short), 4096):
-            some = short[k : k + 4096]
-            out.update(zip(some, self._matrix(some, [_unit_key(u, variant, self.seed) for u in some])))
-        for u in units:
-            if len(u) > LONG:
-                out[u] = self.agenda(u, _unit_key(u, variant, self.seed))
-        return [out[u] for u in units]
+    def units(self, units: list[str], variant: int | np.ndarray) -> list[bytes]:
+        """Each unit by its own draws; variant is that of its place."""
+        keys = np.broadcast_to(np.asarray(variant, np.uint64) ^ np.uint64(_unit_key("", 0, self.seed)), len(units))
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        order = np.argsort(lengths, kind="stable")
+        n_short = int((lengths <= LONG).sum())
+        out: list[bytes] = [b""] * len(units)
+        for k in range(0, n_short, ROWS):
+            some = order[k : min(k + ROWS, n_short)]
+            own = some.tolist()
+            for i, coded in zip(own, self._matrix([units[i] for i in own], keys[some])):
+                out[i] = coded
+        for i in order[n_short:].tolist():
+            out[i] = self.agenda(units[i], int(keys[i]))
+        return out
 
     def __call__(self, texts: list[str], doc_ids: list) -> list[np.ndarray]:
         """The ids of each text."""
-        cut, variants = [], []
-        need: list[set[str]] = [set() for _ in range(self.variants)]
-        for text, doc in zip(texts, doc_ids):
-            v = self.variant(doc)
-            if not text:
-                parts: list[str] = []
-            elif "  " in text or text[0] == " " or text[-1] == " ":
-                parts = UNIT.findall(" " + text)
-            else:
-                parts = text.split(" ")  # each stands for a space and the word
-            need[v].update(parts)
-            cut.append(parts)
-            variants.append(v)
-        tables = [c.resolve(n, lambda new, v=v: self.units([p if p[:1] == " " else " " + p for p in new], v)) for v, (c, n) in enumerate(zip(self.caches, need))]
-        out = [np.frombuffer(b"".join(map(tables[v].__getitem__, parts)), "<i4") for parts, v in zip(cut, variants)]
-        for c in self.caches:
-            c.settle()
-        return out
+        units: list[str] = []
+        sizes = []
+        for text in texts:
+            before = len(units)
+            if text:
+                units += UNIT.findall(" " + text)
+            sizes.append(len(units) - before)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        begins = ends - np.array(sizes, np.int64)
+        total = np.concatenate([[0], np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))])
+        offsets = total[:-1] - np.repeat(total[begins], sizes)
+        docs = np.repeat(np.array([self.variant(d) for d in doc_ids], np.uint64), sizes)
+        coded = self.units(units, _places(docs, offsets))
+        return [np.frombuffer(b"".join(coded[a:b]), "<i4") for a, b in zip(begins.tolist(), ends.tolist())]
 
 
 _models: dict[str, Model] = {}

@@ -426,3 +426,18 @@ def test_word_cache():
         c.settle()
         assert len(c.kept) <= 2 and len(c.young) <= 5
     assert made.count("a") == 1
+
+
+def test_pieces_drawn_anew_for_each_occurrence():
+    pytest.importorskip("sentencepiece")
+    enc, word = pieces.Encoder(SP), "informational"
+    unit = enc.units([" " + word] * 400, np.arange(400))
+    assert len(set(unit)) > 8  # over documents a word is not bound to a few ways
+    text = " ".join([word] * 400)
+    one, other = enc([text, text], [1, 2])
+    cuts = {tuple(b) for b in "|".join(enc.model.bytes[i].decode() for i in one).split("| ")}
+    assert len(cuts) > 8 and one.tolist() != other.tolist()
+    alone = enc([text], [1])[0]
+    assert alone.tolist() == one.tolist()  # whatever else is encoded with it
+    again = "a  " + text
+    assert pieces.decode(enc([again], [1])[0], enc.model.bytes) == again
