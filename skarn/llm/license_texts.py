@@ -1,4 +1,10 @@
-"""The known licence texts and notices, with SPDX identifiers."""
+"""The known licence texts and notices, with SPDX identifiers.
+
+Entire texts in `license_files` are named by their identifier; those of the GNU
+licences carry the -only one, since a bare text states no "or later"."""
+
+import re
+from pathlib import Path
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -56,6 +62,12 @@ This program is distributed in the hope that it will be useful, but WITHOUT ANY
 
 You should have received a copy of the GNU General Public License along with this program. If not, see <http://www.gnu.org/licenses/>."""
 
+_GPL2_NOTICE = _GPL3_NOTICE.replace("either version 3 of", "either version 2 of")
+_GPL2_LETTER = """You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."""
+_LGPL3_NOTICE = _GPL3_NOTICE.replace("GNU General", "GNU Lesser General")
+_AGPL3_NOTICE = _GPL3_NOTICE.replace("GNU General", "GNU Affero General")
+_MPL2_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+
 _SHORT = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -79,6 +91,20 @@ _SHORT = (
     ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
 )
 
+_END = re.compile(r"^[ ]*END OF TERMS AND CONDITIONS[ ]*$", re.M)
+
+
+def _entire() -> list[tuple[str, str]]:
+    """Each text of `license_files` as it is, and where an appendix follows the
+    terms also without it, with and without the line that ends them."""
+    out: list[tuple[str, str]] = []
+    for file in sorted((Path(__file__).parent / "license_files").glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        end = _END.search(text)
+        out += [(file.stem, t) for t in ([text, text[: end.end()], text[: end.start()]] if end else [text])]
+    return out
+
+
 KNOWN: list[tuple[str, str]] = [
     ("MIT", _MIT),
     ("MIT", "MIT License\n\n" + _MIT),
@@ -94,5 +120,12 @@ KNOWN: list[tuple[str, str]] = [
     ("Unlicense", _UNLICENSE),
     ("Apache-2.0", _APACHE_NOTICE),
     ("GPL-3.0-or-later", _GPL3_NOTICE),
+    ("GPL-2.0-or-later", _GPL2_NOTICE),
+    ("GPL-2.0-or-later", _GPL2_NOTICE[: _GPL2_NOTICE.index("You should")] + _GPL2_LETTER),
+    ("LGPL-3.0-or-later", _LGPL3_NOTICE),
+    ("LGPL-2.1-or-later", _LGPL3_NOTICE.replace("either version 3 of", "either version 2.1 of")),
+    ("AGPL-3.0-or-later", _AGPL3_NOTICE),
+    ("MPL-2.0", _MPL2_NOTICE),
+    *_entire(),
     *_SHORT,
 ]

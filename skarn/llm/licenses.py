@@ -3,8 +3,11 @@
 A text's canonical form is lower-cased, without copyright lines, with
 equivalent spellings made one and with punctuation and white space reduced to
 single spaces.  Its SHA-256 digest is joined by equality with the digests of
-known licence texts and notices.  Two kinds of entire texts are looked up: the
-whole document, and each of its lines.
+known licence texts and notices.  Three kinds of entire texts are looked up:
+the whole document, each of its lines, and runs of its paragraphs (lines between
+lines without letters and digits): a paragraph that opens a known text is
+followed for as many paragraphs as that text has.  Of runs within one another
+the longest counts; a run that is one line is counted as that line.
 
 Every row is handled where it is read; texts without any of a few words, of
 which each known text holds one, cannot match and are not canonicalised; only
@@ -36,6 +39,8 @@ SPELLINGS = (
 )
 #: Lines that state a copyright, after lower-casing.
 COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: What separates paragraphs, after lower-casing.
+BLANK = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”„‘’‚«»‹›–—―…·•©®™\x{A0}]+"
 
 
@@ -69,16 +74,58 @@ def known(spark) -> DataFrame:
     return rows.select("license_id", F.sha2(canonical(F.lower("known")), 256).alias("digest")).distinct()
 
 
+def _paragraphs(lowered: Column) -> Column:
+    """The paragraphs of a lower-cased text that are not empty once canonical,
+    each as it is and canonical."""
+    every = F.transform(F.split(lowered, BLANK), lambda p: F.struct(p.alias("raw"), canonical(p).alias("canonical")))
+    return F.filter(every, lambda p: p["canonical"] != "")
+
+
+def _heads(spark) -> Column:
+    """Map from the digest of a first paragraph to the known texts it opens:
+    number of paragraphs, digest and license_id of each."""
+    own = spark.createDataFrame(KNOWN, "license_id string, known string").withColumn("ps", F.transform(_paragraphs(F.lower("known")), lambda p: p["canonical"]))
+    heads: dict[str, dict] = {}
+    for r in own.select("license_id", F.sha2(F.get("ps", F.lit(0)), 256).alias("head"), F.size("ps").alias("n"), F.sha2(F.array_join("ps", " "), 256).alias("digest")).collect():
+        heads.setdefault(r.head, {})[r.n, r.digest, r.license_id] = None
+    entry = lambda n, d, i: F.struct(F.lit(n).alias("n"), F.lit(d).alias("digest"), F.lit(i).alias("id"))
+    return F.create_map(*[x for h, own in heads.items() for x in (F.lit(h), F.array(*[entry(*e) for e in own]))])
+
+
+def _runs(texts: DataFrame) -> DataFrame:
+    """doc_id and license_id of each run of paragraphs that is a known text,
+    not the whole document and not one line."""
+    heads = _heads(texts.sparkSession)
+    ps = F.col("ps")
+
+    def opened(p: Column, i: Column) -> Column:
+        entries = F.filter(F.element_at(heads, F.sha2(p["canonical"], 256)), lambda k: k["digest"] == F.sha2(F.array_join(F.transform(F.slice(ps, i + 1, k["n"]), lambda q: q["canonical"]), " "), 256))
+        return F.coalesce(F.transform(entries, lambda k: F.struct(i.alias("a"), (i + k["n"]).alias("b"), k["id"].alias("id"))), F.array().cast("array<struct<a:int,b:int,id:string>>"))
+
+    def one_line(h: Column) -> Column:
+        p = F.get(ps, h["a"])
+        return (h["b"] - h["a"] == 1) & F.exists(F.split(p["raw"], "\n"), lambda x: canonical(x) == p["canonical"])
+
+    runs = texts.withColumn("ps", _paragraphs(F.col("low"))).withColumn("hits", F.flatten(F.transform("ps", opened))).where(F.size("hits") > 0)
+    every = F.col("hits")
+    largest = F.filter(every, lambda h: ~F.exists(every, lambda g: (g["a"] <= h["a"]) & (g["b"] >= h["b"]) & (g["b"] - g["a"] > h["b"] - h["a"])))
+    runs = runs.withColumn("runs", F.filter(largest, lambda h: (h["b"] - h["a"] < F.size(ps)) & ~one_line(h)))
+    return runs.select("doc_id", F.explode("runs.id").alias("license_id"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, whole_license (of the entire text, or null), n_notices (lines
-    that are a known text) and licenses (sorted, distinct, comma-separated)."""
+    """doc_id, whole_license (of the entire text, or null), n_notices (lines and
+    runs of paragraphs that are a known text) and licenses (sorted, distinct,
+    comma-separated)."""
     table = F.broadcast(known(docs.sparkSession))  # a fixed list
     hold = lambda c: reduce(operator.or_, [F.contains(F.col(c), F.lit(w)) for w in anchors()])
     texts = docs.select("doc_id", F.lower("text").alias("low")).where(hold("low"))
     lines = texts.select("doc_id", F.lit(0).alias("whole"), F.explode(F.split("low", "\n")).alias("low")).where(hold("low"))
     each = lines.unionAll(texts.select("doc_id", F.lit(1).alias("whole"), "low"))
     each = each.withColumn("canonical", canonical(F.col("low"))).where("canonical <> ''")
-    found = each.withColumn("digest", F.sha2("canonical", 256)).join(table, "digest").groupBy("doc_id").agg(
+    hits = each.withColumn("digest", F.sha2("canonical", 256)).join(table, "digest").select("doc_id", "whole", "license_id")
+    hits = hits.unionAll(_runs(texts).select("doc_id", F.lit(0).alias("whole"), "license_id"))
+    found = hits.groupBy("doc_id").agg(
         F.max(F.when(F.col("whole") == 1, F.col("license_id"))).alias("whole_license"),
         F.sum(1 - F.col("whole")).cast("long").alias("n_notices"),
         F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("licenses"),

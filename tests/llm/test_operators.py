@@ -441,3 +441,19 @@ def test_pieces_drawn_anew_for_each_occurrence():
     assert alone.tolist() == one.tolist()  # whatever else is encoded with it
     again = "a  " + text
     assert pieces.decode(enc([again], [1])[0], enc.model.bytes) == again
+
+
+def test_license_texts_and_runs(spark):
+    import textwrap
+    from pathlib import Path
+
+    from skarn.llm import license_texts
+
+    files = sorted((Path(license_texts.__file__).parent / "license_files").glob("*.txt"))
+    notice = "\n".join(f"# {x}".rstrip() for p in license_texts._APACHE_NOTICE.split("\n\n") for x in [*textwrap.wrap(p, 70), ""])
+    short = "Before it, prose.\n\nReleased under the MIT\nLicense.\n\nAfter it, prose."
+    mit = next(t for i, t in license_texts.KNOWN if i == "MIT")
+    rows = [*enumerate(f.read_text() for f in files), (100, "# Copyright 2020 A\n#\n" + notice + "\n\nimport os\n"), (101, short), (102, "Prose.\n\nMIT License\n\n" + mit + "\n\nProse."), (103, "Prose.\n\nReleased under the MIT License.\n\nProse.")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k].whole_license for k in range(len(files))] == [f.stem for f in files] and len(files) == 10
+    assert [(got[k].whole_license, got[k].n_notices, got[k].licenses) for k in (100, 101, 102, 103)] == [(None, 1, x) for x in ("Apache-2.0", "MIT", "MIT", "MIT")]
