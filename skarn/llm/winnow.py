@@ -2,15 +2,16 @@
 
 Words are hashed, each K consecutive words give a k-gram hash, and from every
 WINDOW consecutive k-grams the smallest hash is chosen, the rightmost of equal
-ones.  Chosen hashes are kept with their positions.  Two texts that share
-WINDOW + K - 1 consecutive words share a fingerprint entry.
+ones; texts of fewer than SHORT k-grams keep all of them, so that short near
+copies stay alike.  Chosen hashes are kept with their positions.  Two texts that
+share WINDOW + K - 1 consecutive words share a hash.
 
 An entry is one long: HASH_BITS of the hash, then the position counted from the
 largest downwards, so that `least` picks the smallest hash and, among equal
 ones, the rightmost.
 
 Defined cases: null or blank text has an empty fingerprint; fewer than K words
-give one k-gram of all of them; fewer than WINDOW k-grams give one window; two
+give one k-gram of all of them; two
 empty fingerprints are alike (1.0), one empty and one not are unlike (0.0).
 """
 
@@ -19,7 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, WINDOW = 4, 16
+K, WINDOW = 4, 4
+#: Texts of fewer k-grams keep all of them.
+SHORT = 32
 POSITION_BITS, HASH_BITS = 27, 36
 LAST_POSITION = (1 << POSITION_BITS) - 1
 WS = r"[\x20\x09-\x0D]+"
@@ -49,10 +52,9 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     )
     df = df.withColumn(t[3], packed)
     p = F.col(t[3])
-    df = df.withColumn(t[4], F.transform(p, lambda x, i: F.least(x, F.get(p, i + 1), F.get(p, i + 2), F.get(p, i + 3))))
-    m = F.col(t[4])
-    mins = F.transform(m, lambda x, i: F.least(x, F.get(m, i + 4), F.get(m, i + 8), F.get(m, i + 12)))
-    return df.withColumn(out, F.array_distinct(_complete(mins, WINDOW))).drop(*t)
+    df = df.withColumn(t[4], F.transform(p, lambda x, i: F.least(x, *[F.get(p, i + k) for k in range(1, WINDOW)])))
+    chosen = F.when(F.size(p) < SHORT, p).otherwise(_complete(F.col(t[4]), WINDOW))
+    return df.withColumn(out, F.array_distinct(chosen)).drop(*t)
 
 
 def hashes(fingerprint: Column) -> Column:

@@ -457,3 +457,18 @@ def test_license_texts_and_runs(spark):
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[k].whole_license for k in range(len(files))] == [f.stem for f in files] and len(files) == 10
     assert [(got[k].whole_license, got[k].n_notices, got[k].licenses) for k in (100, 101, 102, 103)] == [(None, 1, x) for x in ("Apache-2.0", "MIT", "MIT", "MIT")]
+
+
+def test_short_near_copies_are_alike(spark):
+    from pyspark.sql import functions as F
+
+    rows = []
+    for n in (8, 12, 16, 19, 24, 30, 36, 60):
+        words = [f"w{n}x{k}" for k in range(n)]
+        keep = n - n // 3
+        rows.append((n, " ".join(words), " ".join([*words[:keep], *(f"new{n}x{k}" for k in range(n // 3))])))
+    df = spark.createDataFrame(rows, "n long, a string, b string")
+    df = winnow.with_fingerprint(winnow.with_fingerprint(df, "a", "fa"), "b", "fb")
+    got = df.select("n", winnow.likeness(winnow.hashes(F.col("fa")), winnow.hashes(F.col("fb"))).alias("near"), F.size("fa").alias("kept")).collect()
+    assert all(r.near > 0.2 for r in got)
+    assert all(r.kept == r.n - winnow.K + 1 for r in got if r.n - winnow.K + 1 < winnow.SHORT)
