@@ -8,8 +8,10 @@ by `labelled_pages`: many page layouts with invented words, where every block's
 label is known.  Viterbi decoding marks the blocks of the main text.
 
 Defined cases: null or empty html gives an empty text; unclosed tags are closed
-as browsers do for p, li and table parts; an unclosed comment or script runs to
-the end; a page without markup is one block.
+as browsers do for p, li and table parts; an unclosed comment, script, style,
+textarea or title runs to the end; of other hidden elements without an end tag
+only the start tag is dropped; head needs no end tag; a page without markup is
+one block.
 """
 
 from __future__ import annotations
@@ -37,7 +39,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
-HIDDEN = frozenset("script style noscript template svg math iframe object textarea select button title canvas audio video head".split())
+HIDDEN = frozenset("script style noscript template svg math iframe object textarea select button title canvas audio video".split())
+#: Hidden elements whose content is not markup: unclosed, they run to the end.
+RAW = frozenset("script style textarea title".split())
 CONTAINERS = frozenset("article aside body div dl fieldset figure footer form header html main nav ol section table td th tr ul li".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
@@ -94,6 +98,7 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack, parts, links, tag_of = _Stack(), [], 0, ""
     pos, n = 0, len(page)
+    endless: set[str] = set()  # hidden elements without a further end tag
 
     def flush() -> None:
         nonlocal parts, links
@@ -125,10 +130,19 @@ def blocks_of(page: str) -> list[Block]:
             else:
                 stack.pop_to((tag,))
             continue
+        if tag == "head":  # what it holds is hidden by itself
+            flush()
+            continue
         if tag in HIDDEN:
-            if not token.endswith("/>"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)
-                pos = end.end() if end else n
+            if not token.endswith("/>") and tag not in endless:
+                again = rf"|<{tag}\b" if tag in ("button", "select") else ""  # these do not nest
+                end = re.compile(rf"</{tag}\b[^>]*>{again}", re.I).search(page, pos)
+                if end:
+                    pos = end.end() if end[0][1] == "/" else pos
+                elif tag in RAW:
+                    pos = n
+                else:
+                    endless.add(tag)
             if tag not in ("button", "select", "math", "svg", "canvas", "audio", "video", "object", "iframe"):
                 continue
             flush()

@@ -472,3 +472,15 @@ def test_short_near_copies_are_alike(spark):
     got = df.select("n", winnow.likeness(winnow.hashes(F.col("fa")), winnow.hashes(F.col("fb"))).alias("near"), F.size("fa").alias("kept")).collect()
     assert all(r.near > 0.2 for r in got)
     assert all(r.kept == r.n - winnow.K + 1 for r in got if r.n - winnow.K + 1 < winnow.SHORT)
+
+
+def test_pages_with_optional_end_tags():
+    text = lambda page: [b.text for b in html_text.blocks_of(page)]
+    assert text("<html><head><title>T</title><style>p {}</style><body><p>All of it.</p>") == ["All of it."]
+    assert text("<head><meta charset=x><title>T</title><p>No body tag.</p>") == ["No body tag."]
+    assert text("<head><title>T</title></head><body><p>Closed.</p>") == ["Closed."]
+    for tag in ("select", "button", "svg", "object", "iframe", "math", "canvas", "template"):
+        assert text(f"<p>Before.</p><{tag}><p>The rest.</p>")[-1] == "The rest.", tag
+    assert text("<button>A<p>Between.</p><button>B</button><p>After.</p>") == ["A", "Between.", "After."]
+    for tag in ("script", "style", "textarea", "title"):
+        assert text(f"<p>Before.</p><{tag}>x<p>y</p>") == ["Before."]
