@@ -73,7 +73,7 @@ class _Stack:
         new = {f"in:{tag}"} if tag in TOLD else set()
         if tag not in INLINE and len(raw) > len(tag) + 2:
             for _, *values in ATTR.findall(raw):
-                new.update("c:" + w.lower() for v in values for w in WORD.findall(v)[:12])
+                new.update("c:" + w.lower() for v in values for w in WORD.findall(v))
         old = self.around()
         self.items.append((tag, old if new <= old else old | new))
         self.count[tag] = self.count.get(tag, 0) + 1

@@ -484,3 +484,8 @@ def test_pages_with_optional_end_tags():
     assert text("<button>A<p>Between.</p><button>B</button><p>After.</p>") == ["A", "Between.", "After."]
     for tag in ("script", "style", "textarea", "title"):
         assert text(f"<p>Before.</p><{tag}>x<p>y</p>") == ["Before."]
+
+
+def test_long_class_lists_count_whole():
+    page = '<div class="flex flex-col gap-4 px-6 py-8 bg-white shadow-md rounded-lg mt-10 border-t cookie-banner"><p>Some words.</p></div>'
+    assert {"c:cookie", "c:banner", "c:flex", "c:border"} <= html_text.blocks_of(page)[0].around
