@@ -407,3 +407,10 @@ def test_status(e):
     with pytest.raises(SqlError):
         e.execute("FROBNICATE t")
     assert "Scan" in e.execute("EXPLAIN SELECT * FROM t").message
+
+
+def test_shell_says_when_rows_are_left_out(e, spark):
+    e.execute("CREATE TABLE n (id INTEGER)")
+    e.execute("INSERT INTO n VALUES " + ", ".join(f"({i})" for i in range(32)))
+    out = list(shell(spark, e.path, ["SELECT a.id FROM n a CROSS JOIN n b", "SELECT a.id FROM n a CROSS JOIN n b WHERE a.id < 31"]))
+    assert [x.count("\n") for x in out] == [999, 0, 991] and "first 1000" in out[1]
