@@ -21,6 +21,7 @@ doc_id follow each other in text order; a null doc_id comes first.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -41,7 +42,7 @@ MAGIC = b"S8B1"
 BLOCK_IDS = 1 << 16
 END_ID = 0
 #: Characters of texts encoded together.
-STEP = 1_000_000
+STEP = 500_000
 #: Selectors worth trying, densest first; one id in a word is the escape.
 _TRY = tuple((s, COUNTS[s], BITS[s]) for s in range(len(BITS) - 1, 1, -1))
 
@@ -148,73 +149,130 @@ def read_document(data: bytes, k: int) -> np.ndarray:
 
 class CachedEncoder:
     """Ids of whole texts by the tokenizers library, which sees each distinct
-    space-delimited piece once while it is cached.
+    piece once while it is cached.
 
-    A space with a non-space before it and another after it always starts a new
-    pre-token of the byte-level pattern, so a text can be cut there without
-    changing its ids; texts in which a space stands otherwise go to the library
-    whole."""
+    A text is cut where a pre-token of the byte-level pattern starts whatever
+    stands before it, so that its pieces can be encoded apart: at a space or a
+    line end between two words, after that line end, and where punctuation ends
+    a word.  Texts with other runs of white space are cut less finely.  All texts
+    of a call are cut and looked up together."""
 
-    def __init__(self, path: str, keep: int = 400_000, trial: int = 200_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = Tokenizer(self.tok.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.spaced = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
-            self.spaced[i] = token[:1] == "\u0120"  # the byte-level alphabet's space
-        self.cache = WordCache(keep, trial)
+            self.spaced[i] = token[:1] == _ALPHABET[32]
+        self.cache = WordCache(keep)
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _spaced(self, pieces: list[str], step: int = 4096) -> Iterator[bytes]:
-        """Ids of pieces with a space before each: many are encoded as one text,
-        and a token that starts with the space starts the next piece."""
-        for k in range(0, len(pieces), step):
-            some = pieces[k : k + step]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _stems(self, words: list[bytes], step: int = 2048) -> Iterator[bytes]:
+        """Ids of words of letters, each with a space before it: one pre-token
+        each, so many go to the library's model at once."""
+        for k in range(0, len(words), step):
+            some = words[k : k + step]
+            text = b"\n".join(some).decode("latin-1").translate(_ALPHABET)
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             at = (4 * np.append(np.flatnonzero(self.spaced[ids]), len(ids))).tolist()
             if len(at) != len(some) + 1:  # never for a byte-level vocabulary
-                raise ValueError("a piece holds a space")
+                raise ValueError("a word holds a space")
             raw = ids.tobytes()
             yield from (raw[a:b] for a, b in zip(at, at[1:]))
 
+    def _new(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces that are not cached."""
+        stem = [STEM.fullmatch(p) is not None for p in pieces]
+        stems = self._stems([p for p, s in zip(pieces, stem) if s])
+        others = iter(self._library([p.decode("utf-8", "surrogatepass") for p, s in zip(pieces, stem) if not s]))
+        return [next(stems) if s else next(others) for s in stem]
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split: list[list[str]] = []
-        need: set[str] = set()
-        for text in texts:
-            parts = text.split(" ")
-            parts[0] = "\n" + parts[0]  # the first piece has no space before it
-            need.update(parts)
-            split.append(parts)
-        table = self.cache.resolve(need, self._values)
-        out: list[bytes | None] = []
-        for parts in split:
-            try:
-                out.append(b"".join(map(table.__getitem__, parts)))
-            except TypeError:  # a space that does not part two words
-                out.append(None)
-        self.cache.settle()
-        whole = iter(self._library([t for t, o in zip(texts, out) if o is None]))
-        return [np.frombuffer(next(whole) if o is None else o, "<u4") for o in out]
-
-    def _values(self, pieces: list[str]) -> list[bytes | None]:
-        """Ids of pieces; None for a piece at a space that does not part two words."""
-        found: dict[str, bytes | None] = {}
-        first, rest = [], []
-        for p in pieces:
-            bare = p[1:] if p[:1] == "\n" else p
-            if not bare or bare[0].isspace() or bare[-1].isspace():
-                found[p] = None
-            elif bare is p:
-                rest.append(p)
-            else:
-                first.append(p)
-        found.update(zip(first, self._library([p[1:] for p in first])))
-        found.update(zip(rest, self._spaced(rest)))
-        return [found[p] for p in pieces]
+        if not texts:
+            return []
+        data = [t.encode("utf-8", "surrogatepass") for t in texts]
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        bounds = np.cumsum([0, *map(len, data)])
+        if not len(raw):
+            return [np.zeros(0, np.uint32)] * len(texts)
+        first = cuts(raw, bounds)
+        ids, n = self.cache.resolve(raw, first, self._new)
+        before = np.concatenate([[0], np.cumsum(n)])
+        return np.split(ids, before[np.searchsorted(first, bounds[1:-1])])
+
+
+def _alphabet() -> dict[int, str]:
+    """The byte-level alphabet: bytes that print stand for themselves, the others
+    for the code points from 256 on, in order.  Line ends are left as they are."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    table = {b: chr(b) for b in shown}
+    table.update((b, chr(256 + k)) for k, b in enumerate(b for b in range(256) if b not in table))
+    del table[10]
+    return table
+
+
+_ALPHABET = _alphabet()
+#: A space and letters of Latin-1.
+STEM = re.compile(rb" (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_OTHER, _SPACE, _LINE, _MARK, _ALNUM = range(5)
+_CLASS = np.full(256, _OTHER, np.int8)
+_CLASS[[32]], _CLASS[[10]] = _SPACE, _LINE
+_CLASS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = _MARK
+_CLASS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = _ALNUM
+#: First bytes of characters that are white space, besides space and line end, or
+#: that Unicode versions and libraries take for it.
+_ODD = np.zeros(256, bool)
+_ODD[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def cuts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the pieces of the texts raw[bounds[k]:bounds[k + 1]] start.
+
+    A space starts a piece if a character that is no white space follows; a
+    line end is a piece if it stands between two such characters, and two line
+    ends there are two pieces.  Beside odd white space nothing is cut, nor inside
+    any longer run.  A text starts a piece."""
+    kind = _CLASS[raw]
+    n = len(raw)
+    edge = np.zeros(n + 1, bool)
+    edge[bounds] = True  # a text starts here
+    blank = (kind == _SPACE) | (kind == _LINE)
+    plain = ~blank & ~_ODD[raw]
+    plain_after = np.append(plain[1:], False) & ~edge[1:]
+    odd_before = np.concatenate([[False], ~plain[:-1]]) | edge[:-1]
+    start = edge[:-1].copy()
+    space = (kind == _SPACE) & plain_after  # begins the next word, whatever stands before
+    start |= space
+    line = kind == _LINE
+    last = line & plain_after  # a line end before a word
+    alone = last & ~odd_before
+    twin = np.append(last[1:], False) & line & ~odd_before & ~edge[1:]
+    second = np.concatenate([[False], twin[:-1]])
+    own = alone | second
+    start |= own | twin
+    start[1:] |= own[:-1]  # the word after a line end
+    # Punctuation that ends a word, after a letter or a digit.
+    end_after = np.append(blank[1:], True) | edge[1:]
+    mark = kind == _MARK
+    run_start = mark & ~np.concatenate([[False], mark[:-1]])
+    at = np.flatnonzero(run_start)
+    if len(at):
+        stops = np.flatnonzero(mark & (np.append(~mark[1:], True) | edge[1:]))
+        to = stops[np.searchsorted(stops, at)]
+        letter = np.zeros(len(at), bool)
+        inner = at > 0
+        letter[inner] = kind[at[inner] - 1] == _ALNUM
+        two = at > 1
+        latin = raw[at[two] - 1]
+        letter[two] |= (raw[at[two] - 2] == 0xC3) & (latin >= 0x80) & (latin <= 0xBF) & (latin != 0x97) & (latin != 0xB7)
+        start[at[letter & end_after[to]]] = True
+    return np.flatnonzero(start)
 
 
 _encoders: dict[str, CachedEncoder] = {}
@@ -271,6 +329,7 @@ def _blocks(encode: Callable[[list[str]], list[np.ndarray]], end_id: int, block_
                     before, held, ids, docs = before + held, 0, [], []
         if docs:
             yield flush()
+        common.trim()
 
     return build
 

@@ -163,13 +163,20 @@ def test_simple8b_round_trip():
 
 
 def test_cached_encoder_is_the_library(docs):
-    enc = token_file.CachedEncoder(BPE, keep=30, trial=10)
+    enc = token_file.CachedEncoder(BPE, keep=300)
+    enc.cache.most = 40
     tok = tokenizers.Tokenizer.from_file(BPE)
     tok.encode_special_tokens = True
+    parts = ["a", "word", "Ünï", "é", "don't", "'s", "x'll", "!", "..", "%%%", "12", " ", " ", " ", "  ", "\n", "\n", "\n\n", "\n\n\n", "\t", "\r\n", "\u3000", "\xa0"]
+    parts += ["\x1c", "\x85", "日本", "🎉", "<|endoftext|>", "_", "ª", "µ", "×", "\u0301", "ǅ", "A", "\u200b", "\u2003", "\x00", "\x7f"]
+    rng = random.Random(12)
     texts = [t or "" for _, t in docs] + ["", " ", "a  b", "a\n b", "a b ", "tab\t x", "　x y"]
-    for _ in range(3):
-        for text, ids in zip(texts, enc(texts)):
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(6000)]
+    for k in range(0, len(texts), 700):
+        some = texts[k : k + 700]
+        for text, ids in zip(some, enc(some)):
             assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert enc([]) == [] and [len(x) for x in enc(["", ""])] == [0, 0]
 
 
 def test_token_file(spark, corpus, docs, empty):
@@ -417,15 +424,18 @@ def test_word_cache():
 
     def make(words):
         made.extend(words)
-        return [w.upper() for w in words]
-
-    c = WordCache(2, 3)
-    for words in (["a", "b"], ["a", "c"], ["a", "b", "d"], ["c", "e", "f"], ["a", "b", "e"]):
-        table = c.resolve(words, make)
-        assert [table[w] for w in words] == [w.upper() for w in words]
-        c.settle()
-        assert len(c.kept) <= 2 and len(c.young) <= 5
-    assert made.count("a") == 1
+        return [np.frombuffer(w, np.uint8).astype("<u4").tobytes() for w in words]
+
+    c = WordCache(6, recent=2)
+    for words in (["a", "bcd", "a"], ["a", "c"], ["", "bcd", "d"], ["c", "e", "f"], ["a", "bb", "e", "gg", "hh"], ["a", "c", "bcd", "bcd"]):
+        words = [w.encode() for w in words if w]
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        first = np.cumsum([0, *map(len, words)])[:-1]
+        ids, n = c.resolve(raw, first, make)
+        assert ids.tolist() == raw.tolist() and n.tolist() == list(map(len, words))
+        assert len(c.main.one) <= 6 and len(c.recent.one) <= 2
+    assert made.count(b"a") <= 2 and made.count(b"bcd") <= 2
+    assert (c._plain(raw, first, make)[0] == raw).all()
 
 
 def test_pieces_drawn_anew_for_each_occurrence():
