@@ -15,7 +15,8 @@ number of ids of each range (a few rows, one a partition) gives the rest of the
 global start of a document.
 
 Defined cases: a null or empty text has no ids besides the end id; rows of one
-doc_id follow each other in text order; a null doc_id comes first.
+doc_id follow each other in text order, a null text first; a null doc_id comes
+before all others (the smallest long counts as null).
 """
 
 from __future__ import annotations
@@ -296,7 +297,7 @@ def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], list
     texts: list[str] = []
     size = 0
     for pdf in batches:
-        ids += pdf["doc_id"].astype("Int64").fillna(NO_ID).tolist()
+        ids += pdf["doc_id"].tolist()
         own = [t or "" for t in pdf["text"]]
         texts += own
         size += sum(map(len, own))
@@ -338,7 +339,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     """Encode every text and write token blocks in ascending doc_id order."""
     spark = docs.sparkSession
     common.ship(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     if partitions is None:
         partitions = texts.rdd.getNumPartitions()  # as many ranges as the input has splits
     ordered = texts.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -365,10 +366,11 @@ def read_tokens(spark, path: str) -> DataFrame:
                 n = counts.astype(np.int64)
                 ends = (4 * np.cumsum(n)).tolist()
                 yield pd.DataFrame({
-                    "doc_id": pd.Series(doc_ids, dtype="Int64").replace(NO_ID, pd.NA),
+                    "doc_id": doc_ids,
                     "start": at + np.cumsum(n) - n, "n_tokens": n,
                     "ids_crc32": np.array([zlib.crc32(raw[a:b]) for a, b in zip([0, *ends], ends)], np.int64),
                 })
 
     at = blocks.join(F.broadcast(parts), F.col("part") == F.col("of")).select("doc_ids", (F.col("part_start") + F.col("start_in_part")).alias("start"), "block")
-    return at.mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    out = at.mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return out.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "start", "n_tokens", "ids_crc32")

@@ -179,6 +179,16 @@ def test_cached_encoder_is_the_library(docs):
     assert enc([]) == [] and [len(x) for x in enc(["", ""])] == [0, 0]
 
 
+def test_token_file_ids_beside_null(spark):
+    big = 1 << 53
+    rows = [(None, "b c"), (big + 3, "x"), (None, "a"), (big + 1, "y z"), (7, ""), (7, ""), (7, None)]
+    path = common.new_path(spark, "t")
+    token_file.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, BPE, partitions=1)
+    got = token_file.read_tokens(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, 7, 7, 7, big + 1, big + 3]
+    assert [r.n_tokens for r in got] == [2, 3, 1, 1, 1, 3, 2]
+
+
 def test_token_file(spark, corpus, docs, empty):
     path = common.new_path(spark, "t")
     token_file.write_tokens(corpus, path, BPE, block_ids=200, partitions=3)
