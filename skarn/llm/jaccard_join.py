@@ -4,17 +4,16 @@ A document's tokens are the 64-bit hashes of its distinct K-word shingles.  Two
 documents link at a Jaccard similarity of SIMILAR percent or more.
 
 1. Documents of equal token sets form a class, which is one node from here on.
-2. Order A (a hash) gives each large set a prefix of p = n - ceil(s n) + 1
-   tokens; small sets put all tokens forward.  A filter of bits seen twice,
-   of bounded size, finds the tokens that can occur in two classes: only they
-   are shuffled.
-3. Order B (exact document frequency, rare first) ranks the tokens that were put
-   forward, and only a prefix of that ranking counts.  For small sets this is
-   the classical prefix, and linking sets must share one of its tokens.  For
-   large sets the tokens put forward are a random sample of the union, so of
-   linking sets they agree in 75 % on average; the prefix leaves out the most
-   frequent ones, as many as stand more than six standard deviations below that.
-   Classes that share no such token have no partner and drop out.
+2. Sets fall in ranges of size that overlap by the factor 0.75, so that any two
+   sets that can link meet in one range.  In range c order A (a hash) gives each
+   set a prefix of p + f tokens, p = n - ceil(s n) + 1, of which linking sets
+   share f + 1 at least; the smallest sets put all tokens forward.  A filter of
+   bits seen twice finds the tokens that can occur in two classes: only they are
+   shuffled.
+3. Order B (exact document frequency, rare first) ranks the tokens put forward,
+   and the f most frequent are left out: of f + 1 common tokens the rarest is
+   still there.  Classes that share no such token have no partner and drop out,
+   as do those that have only a short passage in common with many others.
 4. For the rest, order B ranks the whole sets, and the classical prefix of p
    tokens is indexed.  Passages that many documents share come last in that
    order and do not pair them; a set with more than a quarter of tokens of its
@@ -29,9 +28,7 @@ documents link at a Jaccard similarity of SIMILAR percent or more.
 6. A compared pair must also share a prefix token under order C (another hash)
    before its whole sets are intersected.  That count is exact.
 
-Texts are read three times, and sets are built only for classes left after 3.  Sets up to SMALL tokens use the first scheme, sets above
-SMALL * 0.75 the second; sets in between use both, so that any two sets that can
-link meet in one scheme.
+Texts are read three times, and sets are built only for classes left after 3.
 
 Defined cases: as the contract of the query states for short, empty and null
 texts; rows of one doc_id are separate documents with one id and take the
@@ -53,7 +50,9 @@ from pyspark.sql import functions as F
 from . import common
 
 K, SIMILAR = 5, 75
-SMALL = 86
+#: The first range has sets up to SMALL tokens, each further one up to STEP times
+#: as many; SPARE tokens are left out in the second, twice as many in each next.
+SMALL, STEP, SPARE = 86, 4, 24
 #: Words of 64 bits in a set's parity.
 PARITY = 4
 #: Rounds in which each token's group is compared with one hub, before the rest.
@@ -73,7 +72,7 @@ for _c in range(65, 91):
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _ODD = _rng.integers(1, 1 << 63, 8, dtype=np.uint64) | _U(1)
-_SALT_SMALL, _SALT_A, _SALT_C = (int(x) for x in _rng.integers(1, 1 << 62, 3))
+_, _SALT_A, _SALT_C = (int(x) for x in _rng.integers(1, 1 << 62, 3))
 _power = np.ones(1, np.uint64)
 
 
@@ -87,7 +86,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> np.ndarray:
     global _power
     while len(_power) < n:
-        _power = np.concatenate([_power, _power * (_power[-1] * _ODD[5])])
+        _power = np.concatenate([_power, _power * (_power[-1:] * _ODD[5])])
     return _power
 
 
@@ -148,24 +147,42 @@ def prefix_length(n: int) -> int:
     return n - -(-SIMILAR * n // 100) + 1
 
 
-def forward(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that a set puts forward: all for the small scheme, the prefix under
-    order A for the large one."""
+def prefix(n: Column) -> Column:
+    return n - F.ceil(n * SIMILAR / 100) + 1
+
+
+def range_of(n: int) -> int:
+    """The first range that has sets of n tokens."""
+    c = 0
+    while n > SMALL * STEP**c:
+        c += 1
+    return c
+
+
+def spare(c: int) -> int:
+    return SPARE << (c - 1)
+
+
+def _put(tokens: np.ndarray, c: int) -> np.ndarray:
+    """Keys that a set puts forward in range c."""
+    ranked = mix(tokens ^ mix(np.array([_SALT_A + c], np.uint64)))
+    p = prefix_length(len(tokens)) + spare(c) if c else len(tokens)
+    return np.partition(ranked, p - 1)[:p] if p < len(tokens) else ranked
+
+
+def forward(tokens: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """The first range of a set, the keys it puts forward there, and those in the
+    next range if it belongs there too."""
     n, none = len(tokens), np.zeros(0, np.uint64)
-    small = mix(tokens ^ _U(_SALT_SMALL)) if 0 < n <= SMALL else none
-    large = none
-    if 4 * n > 3 * SMALL:
-        ranked = mix(tokens ^ _U(_SALT_A))
-        p = prefix_length(n)
-        large = np.partition(ranked, p - 1)[:p]
-    return small, large
+    c = range_of(n)
+    return c, _put(tokens, c) if n else none, _put(tokens, c + 1) if 100 * n > SIMILAR * SMALL * STEP**c else none
 
 
-def indexed(n: Column, large: Column) -> tuple[Column, Column]:
-    """How many tokens are put forward, and how many are indexed at most."""
-    p = n - F.ceil(n * SIMILAR / 100) + 1
-    left_out = F.greatest(F.lit(0), F.floor(0.75 * p - 2.6 * F.sqrt(p)) - 1)
-    return F.when(large, p).otherwise(n), F.when(large, p - left_out).otherwise(p)
+def put_forward(n: Column, c: Column) -> tuple[Column, Column]:
+    """How many tokens are put forward, and how many of them count."""
+    f = (SPARE * F.pow(F.lit(2), c - 1)).cast("long")
+    put = F.least(n, prefix(n) + f)
+    return F.when(c == 0, n).otherwise(put), F.when(c == 0, prefix(n)).otherwise(put - f)
 
 
 def _positions(bits: int):
@@ -173,7 +190,7 @@ def _positions(bits: int):
         found: list[np.ndarray] = []
         for pdf in batches:
             for tokens in shingles(pdf["text"]):
-                for keys in forward(tokens):
+                for keys in forward(tokens)[1:]:
                     if len(keys):
                         found.append((keys & _U(bits - 1)).astype(np.uint32))
             if len(found) > 200:
@@ -281,9 +298,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link: order C first, then the exact count."""
     x = sets.select(F.col("rep").alias("a"), F.col("n").alias("xn"), F.col("tokens").alias("xt"))
     y = sets.select(F.col("rep").alias("b"), F.col("n").alias("yn"), F.col("tokens").alias("yt"))
-    p = lambda n: (n - F.ceil(n * SIMILAR / 100) + 1).cast("int")
-    prefix = F.arrays_overlap(F.slice("xt", F.lit(1), p(F.col("xn"))), F.slice("yt", F.lit(1), p(F.col("yn"))))
-    both = F.when(prefix, F.size(F.array_intersect("xt", "yt"))).otherwise(0)
+    first = lambda tokens, n: F.slice(tokens, F.lit(1), prefix(F.col(n)).cast("int"))
+    both = F.when(F.arrays_overlap(first("xt", "xn"), first("yt", "yn")), F.size(F.array_intersect("xt", "yt"))).otherwise(0)
     out = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.col("xn") + F.col("yn")).alias("total"))
     return out.where(100 * F.col("both") >= SIMILAR * (F.col("total") - F.col("both"))).select("a", "b")
 
@@ -315,24 +331,24 @@ def join(docs: DataFrame) -> DataFrame:
             return _as_long(keys[((filt[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1).astype(bool)])
 
         for pdf in batches:
-            n, sig, small, large = [], [], [], []
+            n, sig, ranges, own, up = [], [], [], [], []
             for tokens in shingles(pdf["text"]):
-                a, b = forward(tokens)
+                c, a, b = forward(tokens)
                 n.append(len(tokens))
                 sig.append(_signature(tokens))
-                small.append(suspects(a))
-                large.append(suspects(b))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": n, "sig": sig, "rep": list(map(_node, sig)), "small": small, "large": large})
+                ranges.append(c)
+                own.append(suspects(a))
+                up.append(suspects(b))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": n, "sig": sig, "rep": list(map(_node, sig)), "range": ranges, "own": own, "up": up})
         common.trim()
 
-    profile = common.materialise(docs.mapInPandas(profile_of, "doc_id long, n long, sig binary, rep long, small array<long>, large array<long>"), "profile")
-    reps = profile.where("n > 0").groupBy("sig").agg(F.first("rep").alias("rep"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("small").alias("small"), F.first("large").alias("large"))
+    profile = common.materialise(docs.mapInPandas(profile_of, "doc_id long, n long, sig binary, rep long, range int, own array<long>, up array<long>"), "profile")
+    reps = profile.where("n > 0").groupBy("sig").agg(F.first("rep").alias("rep"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("range").alias("range"), F.first("own").alias("own"), F.first("up").alias("up"))
     reps = common.materialise(reps, "reps")
 
-    # Order B on the tokens put forward: classes that can have a partner at all.
-    index = reps.select("rep", "n", F.lit(False).alias("is_large"), F.explode("small").alias("key")).unionAll(reps.select("rep", "n", F.lit(True).alias("is_large"), F.explode("large").alias("key")))
-    put, most = indexed(F.col("n"), F.col("is_large"))
-    live = _rare_first(common.materialise(index, "index"), ["rep", "is_large"], put, most).select("key", "rep")
+    # Classes that can have a partner at all.
+    index = reps.select("rep", "n", "range", F.explode("own").alias("key")).unionAll(reps.select("rep", "n", (F.col("range") + 1).alias("range"), F.explode("up").alias("key")))
+    live = _rare_first(common.materialise(index, "index"), ["rep", "range"], *put_forward(F.col("n"), F.col("range"))).select("key", "rep")
     shared_keys = live.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     live = live.join(shared_keys, "key", "left_semi").select("rep").distinct()
     live = common.materialise(reps.select("rep", "first").join(live, "rep", "left_semi"), "live")
@@ -357,7 +373,7 @@ def join(docs: DataFrame) -> DataFrame:
 
     # Order B on the whole sets of those: the classical prefix.
     index = sets.select("rep", "n", F.explode("tokens").alias("key"))
-    kept = _rare_first(index, ["rep"], F.col("n"), F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1).select("key", "rep", "n", "place")
+    kept = _rare_first(index, ["rep"], F.col("n"), prefix(F.col("n"))).select("key", "rep", "n", "place")
     signs = [f"s{k}" for k in range(PARITY)]
     kept = common.materialise(kept.join(sets.select("rep", *signs), "rep"), "kept")
 

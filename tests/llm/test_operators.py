@@ -384,6 +384,25 @@ def test_jaccard_join_family(spark, seed):
     assert rows_of(jaccard_join.join(df)) == brute_components(docs)
 
 
+def test_linking_sets_share_more_than_the_spare_tokens():
+    """At the threshold, over all ranges of size and their edges, with the common
+    tokens the most frequent ones."""
+    rng = np.random.default_rng(17)
+    edges = [65, 86, 87, 258, 259, 344, 345, 1032, 1376, 1377]
+    for n in [1, 2, 3, 4, 5, 20, *edges, *rng.integers(1, 1500, 40).tolist()]:
+        for m in {n, (3 * n + 3) // 4, int(rng.integers((3 * n + 3) // 4, n + 1))}:
+            both = -(-75 * (n + m) // 175)
+            if both > m:
+                continue
+            pool = np.unique(rng.integers(1, 1 << 63, 2 * (n + m) + 50, dtype=np.uint64))
+            rng.shuffle(pool)
+            x, y = np.sort(pool[:n]), np.sort(np.concatenate([pool[:both], pool[n : n + m - both]]))
+            put = [{c: set(k.tolist()) for c, k in ((r, a), (r + 1, b)) if len(k)} for r, a, b in map(jaccard_join.forward, (x, y))]
+            met = put[0].keys() & put[1].keys()
+            assert met
+            assert any(len(put[0][c] & put[1][c]) > (jaccard_join.spare(c) if c else 0) for c in met)
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 130)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
