@@ -24,7 +24,8 @@ documents link at a Jaccard similarity of SIMILAR percent or more.
    a member with few tokens of its own, as that is the nearest to what a family
    of copies has in common.  What links is joined into components; then members of
    one group that are still in different components are compared.  Members of
-   one component never are.
+   one component never are, nor are two members that both have the token so late
+   that not even a set like their own could link by it.
 6. A compared pair must also share a prefix token under order C (another hash)
    before its whole sets are intersected.  That count is exact.
 
@@ -278,6 +279,13 @@ def _compatible() -> Column:
     return sizes & ((100 + SIMILAR) * left >= SIMILAR * both) & ((100 + SIMILAR) * differ <= (100 - SIMILAR) * both)
 
 
+def _early(n: str, place: str) -> Column:
+    """Whether two sets of this size can link that have their first common token
+    at this place.  Of two sets that _compatible() lets pass one is early: what
+    follows in both is at most the mean of what follows in each."""
+    return (100 + SIMILAR) * (F.col(n) - F.col(place)) >= 2 * SIMILAR * F.col(n)
+
+
 def _signature(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
@@ -385,12 +393,13 @@ def join(docs: DataFrame) -> DataFrame:
         mixed = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct((F.col("place") if turn % 2 == 0 else F.lit(0)).alias("o"), F.xxhash64(F.lit(turn), "rep").alias("h"), "rep", "n", "place", "comp", *signs)).alias("hub")).where("c0 <> c1")
         if turn < STARS:  # all members with one hub
             other = mixed.select("key", F.col("hub.rep").alias("rep2"), F.col("hub.n").alias("n2"), F.col("hub.place").alias("place2"), F.col("hub.comp").alias("comp2"), *[F.col(f"hub.{c}").alias(f"{c}b") for c in signs])
-        else:  # members of different components
+        else:  # members of different components; one of them has the token early
             at = common.materialise(at.join(mixed.select("key"), "key", "left_semi"), "open")
             other = at.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("comp").alias("comp2"), *[F.col(c).alias(f"{c}b") for c in signs])
-        pairs = at.join(other, "key").where((F.col("comp") != F.col("comp2")) & _compatible())
+        lead = at.where(_early("n", "place")) if turn == STARS else at
+        pairs = lead.join(other, "key").where((F.col("comp") != F.col("comp2")) & _compatible())
         if turn == STARS:
-            pairs = pairs.where("rep < rep2")
+            pairs = pairs.where((F.col("rep") < F.col("rep2")) | ~_early("n2", "place2"))
         pairs = pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
