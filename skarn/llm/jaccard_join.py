@@ -9,7 +9,9 @@ documents link at a Jaccard similarity of SIMILAR percent or more.
    set a prefix of p + f tokens, p = n - ceil(s n) + 1, of which linking sets
    share f + 1 at least; the smallest sets put all tokens forward.  A filter of
    bits seen twice finds the tokens that can occur in two classes: only they are
-   shuffled.
+   shuffled.  Its size is bounded (MAX_BITS), as every executor holds it; beyond
+   some 0.8 GB of text it lets more and more tokens through, up to all that are
+   put forward, and counting them exactly is left to step 3.
 3. Order B (exact document frequency, rare first) ranks the tokens put forward,
    and the f most frequent are left out: of f + 1 common tokens the rarest is
    still there.  Classes that share no such token have no partner and drop out,
@@ -41,14 +43,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, twice
 
 K, SIMILAR = 5, 75
 #: The first range has sets up to SMALL tokens, each further one up to STEP times
@@ -196,45 +197,17 @@ def _positions(bits: int):
                         found.append((keys & _U(bits - 1)).astype(np.uint32))
             if len(found) > 200:
                 found = [np.concatenate(found)]
-        if not found:
-            return
-        pos, counts = np.unique(np.concatenate(found), return_counts=True)
-        seg, start = np.unique(pos >> 16, return_index=True)
-        stop = np.append(start[1:], len(pos))
-        low = pos.astype(np.uint16)
-        for k in range(0, len(seg), 512):
-            rows = range(k, min(k + 512, len(seg)))
-            yield pd.DataFrame({
-                "seg": seg[rows.start : rows.stop].astype(np.int64),
-                "once": [low[start[i] : stop[i]].tobytes() for i in rows],
-                "twice": [low[start[i] : stop[i]][counts[start[i] : stop[i]] > 1].tobytes() for i in rows],
-            })
-        del pos, counts, low, found
+        if found:
+            yield from twice.notes(np.concatenate(found))
+        del found
         common.trim()
 
     return build
 
 
-def _merge(key: tuple[Any, ...], pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    count = np.zeros(1 << 16, np.uint8)
-    for pdf in pdfs:
-        for column in ("once", "twice"):
-            for blob in pdf[column]:
-                at = np.frombuffer(blob, np.uint16)  # distinct in a blob
-                count[at] = np.minimum(count[at] + 1, 2)
-    yield pd.DataFrame({"seg": [key[0]], "once": [np.packbits(count > 1, bitorder="little").tobytes()], "twice": [b""]})
-
-
-SEGMENTS = "seg long, once binary, twice binary"
-
-
 def _twice(docs: DataFrame, bits: int) -> np.ndarray:
     """Bits of keys put forward twice or more: at most MAX_BITS / 8 bytes."""
-    out = np.zeros(bits // 8, np.uint8)
-    merged = docs.select("text").mapInPandas(_positions(bits), SEGMENTS).groupBy("seg").applyInPandas(_merge, SEGMENTS)
-    for row in merged.select("seg", "once").toLocalIterator(True):
-        out[row.seg << 13 : (row.seg + 1) << 13] = np.frombuffer(row.once, np.uint8)
-    return out
+    return twice.collected(docs.select("text").mapInPandas(_positions(bits), twice.SCHEMA), bits)
 
 
 def _as_long(x: np.ndarray) -> np.ndarray:
@@ -335,8 +308,7 @@ def join(docs: DataFrame) -> DataFrame:
         filt = shared.value
 
         def suspects(keys: np.ndarray) -> np.ndarray:
-            pos = (keys & _U(bits - 1)).astype(np.int64)
-            return _as_long(keys[((filt[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1).astype(bool)])
+            return _as_long(keys[twice.has(filt, (keys & _U(bits - 1)).astype(np.int64))])
 
         for pdf in batches:
             n, sig, ranges, own, up = [], [], [], [], []

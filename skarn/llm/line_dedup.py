@@ -1,21 +1,22 @@
 """Line deduplication with two Bloom filters.
 
-Pass 1 reads every text and builds, in each task, two bit maps: bits of line
-keys seen once and bits of keys seen twice.  Segments of the maps meet by
-segment number; a bit counts as seen twice if some task saw it twice or two
-tasks saw it at all, so the merged filter has no false negatives.  Pass 2 emits
-only keys that the second filter suspects; they alone are shuffled, as exact
-strings, to be counted and to find the document that keeps them.  Pass 3 joins
-the confirmed keys back by document and rewrites the texts.
-
-The filter has 8 bits for every line that can repeat, up to MAX_BITS.  Beyond
-that size more lines are suspected and go to the exact stage; results do not
-change.
+Pass 1 reads every text and builds, in each task, two filters: bits of line keys
+seen once and bits of keys seen twice.  Segments of the filters meet by segment
+number; a bit counts as seen twice if some task saw it twice or two tasks saw it
+at all, so the merged filter has no false negatives.  Pass 2 emits only keys that
+the second filter suspects; they alone are shuffled, as exact strings, to be
+counted and to find the document that keeps them.  Pass 3 joins the confirmed
+keys back by document and rewrites the texts.
+
+The filter has 8 bits or more for every line, at every size, so the share of
+lines suspected by chance stays below 5 %.  Up to HELD_BITS every executor holds
+it; beyond that the hashes of lines (10 bytes each) are dealt to its segments.
 
 Defined cases: a null or empty text is one empty line; keys under `min_chars`
 code points always stay; a document that repeats a key counts once for it; rows
-with the same doc_id count as one document and are decided alike; a null doc_id
-is a document of its own that ranks below all others.
+with the same doc_id count as one document and are decided alike; all rows with
+a null doc_id are one document that ranks below all others (the smallest long
+counts as null); other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,11 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, twice
 
 MIN_CHARS, MIN_DOCS = 20, 3
-MIN_BITS, MAX_BITS = 1 << 20, 1 << 27
-SEGMENT_BITS = 1 << 16
+#: A filter of so many bits is held by every executor; beyond that the hashes of
+#: lines are dealt to its segments.
+MIN_BITS, HELD_BITS = 1 << 20, 1 << 28
+#: Stands for a null doc_id.
+NO_ID = -(1 << 63)
 STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -57,68 +61,118 @@ def keys_of(text: str | None, min_chars: int) -> set[bytes]:
 
 
 def probes(keys: list[bytes], bits: int) -> np.ndarray:
-    """Two bit positions for each key."""
+    """Two bit positions for each key, in one segment."""
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
-    mask = np.uint64(bits - 1)
-    return np.stack([h & mask, (h >> np.uint64(32)) & mask], axis=1).astype(np.int64)
+    low = np.uint64(twice.SEGMENT - 1)
+    seg = ((h >> np.uint64(32)) & np.uint64(bits // twice.SEGMENT - 1)) * np.uint64(twice.SEGMENT)
+    return np.stack([seg | (h & low), seg | ((h >> np.uint64(16)) & low)], axis=1).astype(np.int64)
 
 
 def _filters(bits: int, min_chars: int):
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros((2, bits // 8), np.uint8)  # once, twice
+        found: list[np.ndarray] = []
         for pdf in batches:
-            keys: list[bytes] = []
             for text in pdf["text"]:
-                keys.extend(keys_of(text, min_chars))
-            if not keys:
-                continue
-            pos = probes(keys, bits)
-            # A key is seen twice if all its probes were set before it.
-            flat, counts = np.unique(pos.ravel(), return_counts=True)
-            byte, bit = flat >> 3, (1 << (flat & 7)).astype(np.uint8)
-            again = ((seen[0, byte] & bit) != 0) | (counts > 1)
-            np.bitwise_or.at(seen[1], byte[again], bit[again])
-            np.bitwise_or.at(seen[0], byte, bit)
-        step = SEGMENT_BITS // 8
+                keys = keys_of(text, min_chars)
+                if keys:
+                    found.append(probes(list(keys), bits).ravel())
+            if len(found) > 200:
+                found = [np.concatenate(found)]
+        if found:
+            yield from twice.notes(np.concatenate(found))
+        del found
         common.trim()
-        used = np.flatnonzero(seen[0].reshape(-1, step).any(axis=1))
-        for k in range(0, len(used), 256):
-            part = used[k : k + 256]
-            yield pd.DataFrame({"seg": part, "once": [seen[0, s * step : (s + 1) * step].tobytes() for s in part], "twice": [seen[1, s * step : (s + 1) * step].tobytes() for s in part]})
 
     return build
 
 
-def _merge(key: tuple[Any, ...], pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    once = twice = None
-    for pdf in pdfs:
-        for a, b in zip(pdf["once"], pdf["twice"]):
-            a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-            if once is None:
-                once, twice = a.copy(), b.copy()
-            else:
-                twice |= b | (once & a)
-                once |= a
-    if once is not None:
-        yield pd.DataFrame({"seg": [key[0]], "once": [b""], "twice": [twice.tobytes()]})
+def twice_filter(docs: DataFrame, bits: int, min_chars: int) -> DataFrame:
+    """seg, once, twice: the two filters of each task, for keys seen once and twice."""
+    return docs.select("text").mapInPandas(_filters(bits, min_chars), twice.SCHEMA)
 
 
-SEGMENTS = "seg long, once binary, twice binary"
+def filter_bits(lines: int) -> int:
+    return max(MIN_BITS, 1 << max(0, 8 * lines - 1).bit_length())
 
 
-def twice_filter(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
-    """The merged filter of keys that may occur in two documents; at most
-    MAX_BITS / 8 bytes, whatever the input."""
-    parts = docs.select("text").mapInPandas(_filters(bits, min_chars), SEGMENTS)
-    out = np.zeros(bits // 8, np.uint8)
-    step = SEGMENT_BITS // 8
-    for row in parts.groupBy("seg").applyInPandas(_merge, SEGMENTS).select("seg", "twice").toLocalIterator(True):
-        out[row.seg * step : (row.seg + 1) * step] = np.frombuffer(row.twice, np.uint8)
-    return out
+def _suspects_here(texts: DataFrame, filt: np.ndarray, bits: int, min_chars: int) -> DataFrame:
+    """doc_id, line: the suspected keys of each text, by a filter that every
+    executor holds."""
+    shared = texts.sparkSession.sparkContext.broadcast(filt)
 
+    def suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = shared.value
+        for pdf in batches:
+            rows, keys = [], []
+            for row, text in enumerate(pdf["text"]):
+                own = keys_of(text, min_chars)
+                keys.extend(own)
+                rows.extend([row] * len(own))
+            if not keys:
+                continue
+            at = np.flatnonzero(twice.has(held, probes(keys, bits)).all(axis=1))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[[rows[i] for i in at]], "line": [keys[i] for i in at]})
+
+    return texts.mapInPandas(suspects, "doc_id long, line binary")
 
-def filter_bits(lines: int) -> int:
-    return min(MAX_BITS, max(MIN_BITS, 1 << max(0, 8 * lines - 1).bit_length()))
+
+def _suspects_dealt(texts: DataFrame, segments: DataFrame, bits: int, min_chars: int) -> DataFrame:
+    """The same where the filter is too large to be held: the keys' hashes, not
+    the keys, are dealt to the segments of the filter, and suspected ones return
+    to their texts by doc_id."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows, keys = [], []
+            for row, text in enumerate(pdf["text"]):
+                own = keys_of(text, min_chars)
+                keys.extend(own)
+                rows.extend([row] * len(own))
+            if not keys:
+                continue
+            pos = probes(keys, bits)
+            order = np.argsort(pos[:, 0], kind="stable")
+            pos, ids = pos[order], pdf["doc_id"].to_numpy()[np.array(rows)[order]]
+            seg, start = np.unique(pos[:, 0] >> 16, return_index=True)
+            stop = np.append(start[1:], len(pos))
+            low = pos.astype(np.uint16)
+            yield pd.DataFrame({"seg": seg, "ids": [ids[a:b].astype("<i8").tobytes() for a, b in zip(start, stop)], "low": [low[a:b].tobytes() for a, b in zip(start, stop)]})
+
+    def answer(key: tuple[Any, ...], asked: pd.DataFrame, filt: pd.DataFrame) -> pd.DataFrame:
+        held = np.frombuffer(filt["twice"].iloc[0], np.uint8) if len(filt) else np.zeros(twice.BYTES, np.uint8)
+        ids = np.frombuffer(b"".join(asked["ids"]), "<i8")
+        low = np.frombuffer(b"".join(asked["low"]), np.uint16).reshape(-1, 2)
+        yes = twice.has(held, low.astype(np.int64)).all(axis=1)
+        own = int(key[0]) << 32 | low[yes, 0].astype(np.int64) << 16 | low[yes, 1]
+        return pd.DataFrame({"__id": ids[yes], "place": own})
+
+    asked = texts.mapInPandas(ask, "seg long, ids binary, low binary")
+    found = asked.groupBy("seg").cogroup(segments.groupBy("seg")).applyInPandas(answer, "__id long, place long")
+    found = found.groupBy("__id").agg(F.collect_set("place").alias("places"))
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows, keys = [], []
+            for row, (text, places) in enumerate(zip(pdf["text"], pdf["places"])):
+                own = list(keys_of(text, min_chars))
+                if own:
+                    pos = probes(own, bits)
+                    at = np.isin((pos[:, 0] >> 16) << 32 | (pos[:, 0] & 0xFFFF) << 16 | pos[:, 1] & 0xFFFF, places)
+                    own = [k for k, yes in zip(own, at) if yes]
+                keys.extend(own)
+                rows.extend([row] * len(own))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[rows], "line": keys})
+
+    held = texts.join(found, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "places")
+    return held.mapInPandas(keep, "doc_id long, line binary")
+
+
+def suspected(texts: DataFrame, bits: int, min_chars: int) -> DataFrame:
+    """doc_id, line: the keys that may occur in two documents."""
+    parts = twice_filter(texts, bits, min_chars)
+    if bits <= HELD_BITS:
+        return _suspects_here(texts, twice.collected(parts, bits), bits, min_chars)
+    return _suspects_dealt(texts, common.materialise(twice.merged(parts), "segments"), bits, min_chars)
 
 
 def _rewriter(min_chars: int):
@@ -145,27 +199,9 @@ def _rewritten(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """docs with a struct column __ld of the rewriter's fields."""
     spark = docs.sparkSession
     common.ship(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     lines = texts.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
-    bits = filter_bits(lines)
-    shared = spark.sparkContext.broadcast(twice_filter(texts, bits, min_chars))
-
-    def suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filt = shared.value
-        for pdf in batches:
-            rows, keys = [], []
-            for row, text in enumerate(pdf["text"]):
-                own = keys_of(text, min_chars)
-                keys.extend(own)
-                rows.extend([row] * len(own))
-            if not keys:
-                continue
-            pos = probes(keys, bits)
-            at = np.flatnonzero(((filt[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1).all(axis=1))
-            ids = pdf["doc_id"].astype("Int64").take([rows[i] for i in at])
-            yield pd.DataFrame({"doc_id": ids.array, "line": [keys[i] for i in at]})
-
-    found = common.materialise(texts.mapInPandas(suspects, "doc_id long, line binary"), "lines")
+    found = common.materialise(suspected(texts, filter_bits(lines), min_chars), "lines")
     # Exact confirmation: the distinct documents of each suspected key.
     repeats = (
         found.groupBy("line", "doc_id").agg(F.lit(1).alias("one"))
@@ -178,11 +214,11 @@ def _rewritten(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     repeats = common.materialise(repeats, "repeats")
     drops = (
         found.join(repeats, "line")
-        .where(~F.col("doc_id").eqNullSafe(F.col("owner")))
+        .where("doc_id <> owner")
         .groupBy("doc_id").agg(F.collect_set("line").alias("__ld_keys"))
         .withColumnRenamed("doc_id", "__ld_id")
     )
-    joined = docs.join(drops, docs["doc_id"].cast("long").eqNullSafe(drops["__ld_id"]), "left")
+    joined = docs.join(drops, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == drops["__ld_id"], "left")
     return joined.withColumn("__ld", _rewriter(min_chars)(docs["text"], drops["__ld_keys"])).drop("__ld_id", "__ld_keys")
 
 
@@ -192,8 +228,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
 
 def rewrite_documents(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The same columns and rows with repeated lines gone from text (and from
-    n_chars, where that column exists)."""
+    """The same columns, of the same types, and rows with repeated lines gone from
+    text (and from n_chars, where that column exists)."""
     out = _rewritten(docs, min_chars, min_docs)
-    new = {"text": F.col("__ld.kept_text"), "n_chars": F.length("__ld.kept_text").cast("long")}
+    new = {"text": F.col("__ld.kept_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("__ld.kept_text").cast(docs.schema["n_chars"].dataType)
     return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
