@@ -7,9 +7,9 @@ the keys it needs.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,15 +70,26 @@ def _source(engine, own: Catalog, s: parser.Insert, table: Table, names: list[st
         if not targets:
             return engine.session.range(len(s.rows)).select()
         rows = [[_default(table, n) if v.upper() == "DEFAULT" else v for n, v in zip(targets, r)] for r in s.rows]
-        text = " UNION ALL ".join("SELECT " + ", ".join(f"{v} AS c{k}" for k, v in enumerate(r)) for r in rows)
+        df = _values(engine, own, s.ctes, rows)
     else:
-        text = s.query
-    df = engine.query(tokenize(s.ctes + text), own)
+        df = engine.query(tokenize(s.ctes + s.query), own)
     if len(df.columns) != len(targets):
         raise SqlError(f"{len(targets)} columns wanted for {table.name}, {len(df.columns)} given")
     return df.toDF(*targets)
 
 
+def _values(engine, own: Catalog, ctes: str, rows: list[list[str]]) -> DataFrame:
+    """Rows of expressions as one partition, so that their row ids are in order.
+    Spark takes one list of values if all of them are constants of agreeing types."""
+    try:
+        text = ", ".join("(" + ", ".join(r) + ")" for r in rows)
+        df = engine.query(tokenize(f"{ctes}SELECT * FROM VALUES {text}"), own)
+    except AnalysisException:
+        text = " UNION ALL ".join("SELECT " + ", ".join(f"{v} AS c{k}" for k, v in enumerate(r)) for r in rows)
+        df = engine.query(tokenize(ctes + text), own)
+    return df.coalesce(1)
+
+
 def _default(table: Table, name: str) -> str:
     return table.column(name).default or "NULL"
 
@@ -106,34 +117,37 @@ def complete(engine, own: Catalog, table: Table, df: DataFrame) -> DataFrame:
 
 
 def insert_rows(engine, own: Catalog, table: Table, df: DataFrame, depth: int = 0, check=None) -> int:
-    df = complete(engine, own, table, df)
-    staged = engine.store.stage(df.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()))
-    # One row a partition: dense row ids without sorting everything in one task.
-    sizes = {r[0]: r[1] for r in staged.groupBy("__p").count().collect()}
+    """Rows are numbered by partition and place and written; if they come from
+    more than the first partition, they are numbered densely in a second pass,
+    without a shuffle.  Constraints and triggers read what was written."""
+    first = table.next_rowid
+    rows = complete(engine, own, table, df).withColumn(ROWID, F.monotonically_increasing_id() + first)
+    files = engine.store.write(table, rows)
+    rows = engine.store.read(table, files)
+    place = F.col(ROWID) - first
+    # One row a partition; Spark has the place within it in the low 33 bits.
+    sizes = dict(sorted((r[0], r[1]) for r in rows.groupBy(F.shiftright(place, 33)).count().collect()))
     total = sum(sizes.values())
     if not total:
         return 0
-    starts, at = [], table.next_rowid
-    for p in sorted(sizes):
-        starts.append((p, at))
-        at += sizes[p]
-    table.next_rowid = at
-    if len(starts) == 1:
-        base = staged.withColumn("__s", F.lit(starts[0][1]))
-    else:
-        base = staged.join(F.broadcast(engine.session.createDataFrame(starts, "__p int, __s long")), "__p")
-    from pyspark.sql import Window
-
-    rows = base.withColumn(ROWID, F.col("__s") + F.row_number().over(Window.partitionBy("__p").orderBy("__m")) - 1).drop("__p", "__m", "__s")
+    if list(sizes) != [0]:
+        starts, at = [], first
+        for p, n in sizes.items():
+            starts.append((p, at))
+            at += n
+        starts = F.broadcast(engine.session.createDataFrame(starts, "__p long, __s long"))
+        dense = rows.join(starts, F.shiftright(place, 33) == F.col("__p")).withColumn(ROWID, F.col("__s") + place.bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__s")
+        files = engine.store.write(table, dense)
+        rows = engine.store.read(table, files)
+    table.next_rowid = first + total
     if check is not None:
         check(rows)
     has_triggers = any(t.table.lower() == table.name.lower() and t.event == "INSERT" for t in own.triggers.values())
     if has_triggers:
-        rows = engine.store.stage(rows)
         triggers.fire(engine, own, "BEFORE", "INSERT", table, None, rows, depth)
         table = own.table(table.name)
     check_rows(engine, own, table, rows, None)
-    table.files = [*table.files, *engine.store.write(table, rows)]
+    table.files = [*table.files, *files]
     table.version += 1
     if has_triggers:
         triggers.fire(engine, own, "AFTER", "INSERT", table, None, rows, depth)
@@ -235,19 +249,23 @@ def _with_tables(engine, own: Catalog, ctes: str) -> list[str]:
             return out
 
 
-def _norm(path: str) -> str:
-    return re.sub(r"^file:/+", "/", path)
+def _file(path: str) -> str:
+    """The last part of a path: Spark names files by job and task, so it tells
+    files apart however the folders above are encoded."""
+    return path.rsplit("/", 1)[1]
 
 
 def replace_rows(engine, table: Table, changed: DataFrame, new: DataFrame | None) -> None:
     """Rewrite the files that hold `changed` (row id and __file): without those
     rows, and with `new` in their place."""
-    touched = {_norm(r[0]) for r in changed.select("__file").distinct().collect()}  # names of files
-    old = [f for f in table.files if _norm(f.path) in touched]
+    touched = {_file(r[0]) for r in changed.select("__file").distinct().collect()}  # names of files
+    old = [f for f in table.files if _file(f.path) in touched]
+    if len(old) != len(touched):
+        raise RuntimeError(f"rows of {table.name} come from files that its catalogue does not name")
     rest = engine.store.read(table, old).join(changed.select(ROWID), ROWID, "left_anti")
     rows = rest if new is None else rest.unionByName(new.select(ROWID, *[F.col(_q(c)) for c in table.names()]))
     files: list[DataFile] = engine.store.write(table, rows)
-    table.files = [f for f in table.files if _norm(f.path) not in touched] + files
+    table.files = [f for f in table.files if _file(f.path) not in touched] + files
     table.version += 1
 
 

@@ -244,12 +244,62 @@ def test_reopen_and_vacuum(e, spark):
     load(e)
     e.execute("UPDATE users SET user_name = 'Z' WHERE user_id = 1")
     again = Engine.open(spark, e.path)
-    assert again.vacuum() > 0
+    assert again.vacuum() == 0  # others may still read what was replaced
+    assert again.vacuum(retain=0) > 0
     assert rows(again, "SELECT user_name FROM users ORDER BY user_id") == [("Z",), ("Bob",), ("Charlie",)]
     assert again.list_tables() == ["orders", "users"]
     assert [f.name for f in again.get_table_schema("users")] == ["user_id", "user_name"]
 
 
+def test_path_with_space_and_signs(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "a b%20c+d"))
+    e.execute("CREATE TABLE t (id INTEGER, v INTEGER)")
+    e.execute("INSERT INTO t VALUES (1, 1), (2, 2)")
+    e.execute("UPDATE t SET v = 9 WHERE id = 1")
+    assert rows(e, "SELECT * FROM t ORDER BY id") == [(1, 9), (2, 2)]
+    e.execute("DELETE FROM t WHERE id = 2")
+    assert rows(e, "SELECT * FROM t") == [(1, 9)]
+
+
+def test_vacuum_beside_other_sessions(e, spark):
+    load(e)
+    a, b, old = Engine.open(spark, e.path), Engine.open(spark, e.path), e.snapshot()
+    b.execute("INSERT INTO users VALUES (4, 'Dora')")
+    b.execute("UPDATE users SET user_name = 'Y' WHERE user_id = 2")
+    a.execute("VACUUM")
+    assert rows(b, "SELECT COUNT(*) FROM users") == [(4,)]
+    a.execute("VACUUM 0")  # b's version is the newest, old's is held
+    assert rows(b, "SELECT user_name FROM users ORDER BY user_id") == [("Alice",), ("Y",), ("Charlie",), ("Dora",)]
+    assert rows(old, "SELECT user_name FROM users ORDER BY user_id") == [("Alice",), ("Bob",), ("Charlie",)]
+    assert rows(a, "SELECT COUNT(*) FROM users") == [(4,)]
+    kept = len(a.store._listed("catalog"))
+    old.close()
+    assert a.vacuum(retain=0) > 0 and len(a.store._listed("catalog")) < kept
+    late = b.store.load()
+    late.version -= 3  # its documents are gone, and still no version is written twice
+    with pytest.raises(ConflictError):
+        b.store.publish(late)
+
+
+def test_many_values(e):
+    e.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, name TEXT, x REAL)")
+    text = ", ".join(f"({k}, 'it''s {k}', {k}.5)" if k % 3 else f"({k}, NULL, -{k})" for k in range(10_000))
+    assert e.execute(f"INSERT INTO t VALUES {text}").rows == 10_000
+    assert rows(e, "SELECT COUNT(*), SUM(id), COUNT(name), MIN(rowid), MAX(rowid) FROM t") == [(10_000, 49_995_000, 6666, 1, 10_000)]
+    assert rows(e, "SELECT id, name, x FROM t WHERE rowid = 4321") == [(4320, None, -4320.0)]
+    e.execute("INSERT INTO t SELECT id + 10000, name, x FROM t")
+    assert rows(e, "SELECT COUNT(DISTINCT rowid), MAX(rowid) FROM t") == [(20_000, 20_000)]
+    e.execute("INSERT INTO t VALUES (50000, (SELECT MAX(name) FROM t), 1), (50001, 'a' || 'b', 7 / 2)")
+    assert rows(e, "SELECT name, x FROM t WHERE id >= 50000 ORDER BY id") == [("it's 9998", 1.0), ("ab", 3.0)]
+
+
+def test_rows_of_many_partitions_are_numbered_densely(e, spark):
+    e.attach("wide", spark.range(0, 1000, 1, 7).selectExpr("id", "id * 2 AS v"))
+    e.execute("CREATE TABLE t AS SELECT id, v FROM wide")
+    assert rows(e, "SELECT COUNT(DISTINCT rowid), MIN(rowid), MAX(rowid) FROM t") == [(1000, 1, 1000)]
+    assert rows(e, "SELECT COUNT(*) FROM t WHERE rowid <> id + 1") == [(0,)]
+
+
 def test_alter_table(e):
     load(e)
     e.execute("ALTER TABLE users ADD COLUMN age INTEGER DEFAULT 7")
@@ -409,8 +459,8 @@ def test_status(e):
     assert "Scan" in e.execute("EXPLAIN SELECT * FROM t").message
 
 
-def test_shell_says_when_rows_are_left_out(e, spark):
+def test_shell_shows_all_rows_in_pages(e, spark):
     e.execute("CREATE TABLE n (id INTEGER)")
     e.execute("INSERT INTO n VALUES " + ", ".join(f"({i})" for i in range(32)))
     out = list(shell(spark, e.path, ["SELECT a.id FROM n a CROSS JOIN n b", "SELECT a.id FROM n a CROSS JOIN n b WHERE a.id < 31"]))
-    assert [x.count("\n") for x in out] == [999, 0, 991] and "first 1000" in out[1]
+    assert [x.count("\n") for x in out] == [999, 23, 991]
