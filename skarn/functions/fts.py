@@ -1,7 +1,7 @@
 """Full-text search: tokens, inverted index, query language, highlighting.
 
-A document matches by expressions over its token array, so a search is a scan
-with a filter and needs no stored index; `index` gives the inverted form where
+A document matches by expressions over its text, so a search is a scan with a
+filter and needs no stored index; `index` gives the inverted form where
 postings themselves are wanted.
 """
 
@@ -125,25 +125,23 @@ def _quote(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def tokens_sql(column: str) -> str:
-    return rf"filter(transform(split(lower({column}), '\\s+'), w -> regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '')), w -> w <> '')"
+#: What may stand beside a word within its token, and between the words of a phrase.
+_BESIDE, _BETWEEN = r"[^\p{L}\p{N}\s]*", r"[^\p{L}\p{N}]*\s[^\p{L}\p{N}]*"
 
 
 def match_sql(query: str, columns: list[str]) -> str:
-    """The query as a SQL predicate over text columns."""
+    """The query as a SQL predicate over text columns.
+
+    That a text has a token is said by a pattern, so no token array is made; a
+    plain search for the word comes first, as most rows end there."""
 
     def term(t: Term) -> str:
         names = [c for c in columns if t.column is None or c.split(".")[-1].strip("`").lower() == t.column.lower()]
         if not names or not t.words:
             return "false"
-        tests = []
-        for c in names:
-            if len(t.words) == 1:
-                tests.append(f"array_contains({tokens_sql(c)}, {_quote(t.words[0])})")
-            else:
-                phrase = " " + " ".join(t.words) + " "
-                tests.append(f"contains(concat(' ', array_join({tokens_sql(c)}, ' '), ' '), {_quote(phrase)})")
-        return "(" + " OR ".join(f"coalesce({x}, false)" for x in tests) + ")"
+        pattern = rf"(?:^|\s){_BESIDE}" + _BETWEEN.join(rf"\Q{w}\E" for w in t.words) + rf"{_BESIDE}(?:\s|$)"
+        held = " AND ".join(f"contains(lower({{0}}), {_quote(w)})" for w in t.words)
+        return "(" + " OR ".join(f"coalesce({held} AND lower({{0}}) RLIKE {_quote(pattern)}, false)".replace("{0}", c) for c in names) + ")"
 
     def walk(node) -> str:
         if isinstance(node, Term):

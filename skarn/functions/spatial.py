@@ -62,25 +62,43 @@ def nearest(df: DataFrame, box: Box, x: float, y: float, k: int, key: str) -> Da
 
 
 def box_join(left: DataFrame, right: DataFrame, left_box: Box, right_box: Box, cell: float) -> DataFrame:
-    """Pairs of rows whose boxes meet.  Boxes are dealt to the grid cells they
-    touch and joined by cell; a pair is reported in the one cell that holds the
-    lower corner of the common part, so the join is an equality join and no pair
-    comes twice.  `cell` should be about the size of a large box."""
-    at = lambda v: F.floor(v / cell).cast("long")
-
-    def dealt(df: DataFrame, b: Box, side: str) -> DataFrame:
-        df = df.withColumns({f"__{side}{n}": getattr(b, n) for n in ("min_x", "max_x", "min_y", "max_y")})
-        df = df.withColumn(f"__{side}cx", F.explode(F.sequence(at(F.col(f"__{side}min_x")), at(F.col(f"__{side}max_x")))))
-        return df.withColumn(f"__{side}cy", F.explode(F.sequence(at(F.col(f"__{side}min_y")), at(F.col(f"__{side}max_y")))))
-
-    a, b = dealt(left, left_box, "l"), dealt(right, right_box, "r")
-    pairs = a.join(b, (F.col("__lcx") == F.col("__rcx")) & (F.col("__lcy") == F.col("__rcy")))
-    la, rb = Box.of(*[f"__l{n}" for n in ("min_x", "max_x", "min_y", "max_y")]), Box.of(*[f"__r{n}" for n in ("min_x", "max_x", "min_y", "max_y")])
-    here = (at(F.greatest(la.min_x, rb.min_x)) == F.col("__lcx")) & (at(F.greatest(la.min_y, rb.min_y)) == F.col("__lcy"))
-    out = pairs.where(la.intersects(rb) & here)
+    """Pairs of rows whose boxes meet, as an equality join of grid cells.
+
+    Grid l has cells of cell * 2^l.  A box belongs to the finest grid in which it
+    spans few cells, and is dealt to the cells it touches there and in all coarser
+    grids that some box belongs to; so it has a few cells for each grid, however
+    large it is.  Two boxes meet in the coarser of their own grids, and are
+    reported in the one cell there that holds the lower corner of the common
+    part.  `cell` should be about the size of a small box."""
+    corners = ("min_x", "max_x", "min_y", "max_y")
+    sized = []
+    for df, b, side in ((left, left_box, "l"), (right, right_box, "r")):
+        df = df.withColumns({f"__{side}{n}": getattr(b, n).cast("double") for n in corners})
+        wide = F.greatest(F.col(f"__{side}max_x") - F.col(f"__{side}min_x"), F.col(f"__{side}max_y") - F.col(f"__{side}min_y"))
+        sized.append(df.withColumn(f"__{side}own", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(wide, F.lit(cell)) / cell))).cast("int")))
+    # As many numbers as there are grids: the logarithm of the widest box.
+    grids = sorted(r[0] for r in sized[0].select("__lown").unionAll(sized[1].select("__rown")).distinct().dropna().collect())
+
+    def dealt(df: DataFrame, side: str) -> DataFrame:
+        df = df.withColumn(f"__{side}grid", F.explode(F.filter(F.array(*map(F.lit, grids)).cast("array<int>"), lambda g: g >= F.col(f"__{side}own"))))
+        for axis in "xy":
+            low, high = (_cell(F.col(f"__{side}{end}_{axis}"), F.col(f"__{side}grid"), cell) for end in ("min", "max"))
+            df = df.withColumn(f"__{side}c{axis}", F.explode(F.sequence(low, high)))
+        return df
+
+    a, b = (dealt(df, side) for df, side in zip(sized, "lr"))
+    same = [F.col(f"__l{c}") == F.col(f"__r{c}") for c in ("grid", "cx", "cy")]
+    pairs = a.join(b, same).where(F.greatest("__lown", "__rown") == F.col("__lgrid"))
+    la, rb = (Box.of(*[f"__{side}{n}" for n in corners]) for side in "lr")
+    corner = [_cell(F.greatest(getattr(la, f"min_{x}"), getattr(rb, f"min_{x}")), F.col("__lgrid"), cell) == F.col(f"__lc{x}") for x in "xy"]
+    out = pairs.where(la.intersects(rb) & corner[0] & corner[1])
     return out.drop(*[c for c in out.columns if c.startswith(("__l", "__r"))])
 
 
+def _cell(value: Column, grid: Column, cell: float) -> Column:
+    return F.floor(value / (F.lit(cell) * F.pow(F.lit(2.0), grid))).cast("long")
+
+
 _BOX = "(a0 DOUBLE, a1 DOUBLE, a2 DOUBLE, a3 DOUBLE"
 _OTHER = ", b0 DOUBLE, b1 DOUBLE, b2 DOUBLE, b3 DOUBLE"
 #: SQL forms over min_x, max_x, min_y, max_y, expanded by the dialect.

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A query block up to this many rows is broadcast; larger ones are split.
+#: Rows of a block of queries, which is broadcast.
 BLOCK_ROWS = 20_000
 
 
@@ -52,15 +54,23 @@ def top_k(df: DataFrame, vector: str, query, k: int, key: str, metric: str = "l2
 
 def knn_join(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """query_key, neighbour_key, distance, rank: the k nearest rows of a stated
-    query set, itself excluded.  The query block is broadcast while it is small;
-    each task keeps k rows a query before the shuffle (window group limit)."""
+    query set, itself excluded.  Queries go in blocks of about BLOCK_ROWS, each
+    broadcast against all rows; a task keeps k rows a query before the shuffle
+    (window group limit)."""
     q = queries.select(F.col(key).alias("query_key"), F.col(vector).alias("__q"))
-    if queries.count() <= BLOCK_ROWS:
-        q = F.broadcast(q)
-    pairs = rows.select(F.col(key).alias("neighbour_key"), F.col(vector).alias("__v")).join(q, F.col("neighbour_key") != F.col("query_key"))
-    near = pairs.select("query_key", "neighbour_key", l2_distance(F.col("__v"), F.col("__q")).alias("distance"))
+    rows = rows.select(F.col(key).alias("neighbour_key"), F.col(vector).alias("__v"))
+    blocks = -(-q.count() // BLOCK_ROWS) or 1
     order = Window.partitionBy("query_key").orderBy("distance", "neighbour_key")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def nearest(block: DataFrame) -> DataFrame:
+        pairs = rows.join(F.broadcast(block), F.col("neighbour_key") != F.col("query_key"))
+        near = pairs.select("query_key", "neighbour_key", l2_distance(F.col("__v"), F.col("__q")).alias("distance"))
+        return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    if blocks == 1:
+        return nearest(q)
+    block = F.pmod(F.xxhash64("query_key"), F.lit(blocks))
+    return reduce(DataFrame.unionAll, [nearest(q.where(block == i)) for i in range(blocks)])
 
 
 #: SQL forms, which the dialect expands in place (so that they can stand in

@@ -35,18 +35,39 @@ def with_rowid(df: DataFrame, order: list[str], name: str = "_rowid") -> DataFra
     return numbered.join(F.broadcast(shift), F.col("__p") == F.col("__of")).withColumn(name, F.col("__shift") + F.col("__r")).drop("__p", "__of", "__shift", "__r")
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], ties: list[str] = ()) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], ties: list[str] = (), bucket: str | None = None) -> DataFrame:
     """left with `values` of the latest right row of the same key at an earlier
     time (the largest by `ties` at one time): both sides are merged and the last
-    value is carried along each key."""
+    value is carried along each key.
+
+    With `bucket` (SQL over the time column that grows with it, such as
+    date_trunc('day', ts)) a key is sorted in one task for each bucket; the last
+    value before a bucket comes from one row for each bucket of the key."""
     cols = left.columns
     a = left.select("*", F.lit(1).alias("__left"), *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values])
     b = right.select(*[F.col(c) if c in (key, time) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols], F.lit(0).alias("__left"), *values)
+    merged = a.unionByName(b).withColumn("__bucket", F.expr(bucket) if bucket else F.lit(0))
     # Left rows come first among equal times: only earlier right rows count.
-    order = Window.partitionBy(key).orderBy(F.col(time), F.desc("__left"), *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    row = F.last(F.when(F.col("__left") == 0, F.struct(*values)), ignorenulls=True).over(order)
-    merged = a.unionByName(b).withColumn("__match", row).where("__left = 1")
-    return merged.select(*cols, *[F.col(f"__match.{v}").alias(v) for v in values])
+    order = Window.partitionBy(key, "__bucket").orderBy(F.col(time), F.desc("__left"), *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    right_row = F.when(F.col("__left") == 0, F.struct(*values))
+    out = merged.withColumn("__match", F.last(right_row, ignorenulls=True).over(order)).where("__left = 1")
+    if bucket:
+        ends = merged.where("__left = 0").groupBy(key, "__bucket").agg(F.max_by(F.struct(*values), F.struct(time, *ties)).alias("__end"))
+        held = merged.select(key, "__bucket").distinct().join(ends, [key, "__bucket"], "left")
+        before = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        held = held.select(F.col(key).alias("__k"), F.col("__bucket").alias("__b"), F.last("__end", ignorenulls=True).over(before).alias("__before"))
+        out = out.join(held, F.col(key).eqNullSafe(F.col("__k")) & F.col("__bucket").eqNullSafe(F.col("__b")), "left").withColumn("__match", F.coalesce("__match", "__before"))
+    return out.select(*cols, *[F.col(f"__match.{v}").alias(v) for v in values])
+
+
+def interval_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float, on: list[str] = ()) -> DataFrame:
+    """Pairs of a left row and a right row whose interval [low, high] holds the
+    left row's point, and which agree in `on`.  Intervals are dealt to the bins of
+    `width` they touch, a point to its one bin: an equality join."""
+    at = lambda c: F.floor(F.col(c) / width).cast("long")
+    a = left.withColumn("__bin", at(point))
+    b = right.where(F.col(low) <= F.col(high)).withColumn("__bin", F.explode(F.sequence(at(low), at(high))))
+    return a.join(b, [*on, "__bin"]).where(F.col(point).between(F.col(low), F.col(high))).drop("__bin")
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "inner") -> DataFrame:

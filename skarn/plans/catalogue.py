@@ -2,19 +2,25 @@
 
 `QUERIES` maps a name to a callable of (spark, sf_dir); `ORACLE` maps it to the
 equivalent SQL of the test oracle.  Queries written once in SQL that both
-engines read alike are listed in `SHARED`.
+engines read alike are listed in `SHARED`, those in the dialect in `DIALECT`;
+both run through `Engine.execute`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skarn.dml import ConstraintError
 from skarn.functions import fts, json, spatial, vector
 from skarn.operators import relational, statistics
+from skarn.session import Engine
+from skarn.sources import tables as sources
 from skarn.sources.tables import views
+from skarn.store import ConflictError
 
 FLAGSHIP = "flagship"
 
@@ -43,7 +49,6 @@ SHARED: dict[str, tuple[str, str]] = {
     "filter_column_to_column": ("lineitem", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE l_partkey % 100 = l_suppkey"),
     "filter_null_three_valued": ("orders", "SELECT o_orderkey FROM (SELECT o_orderkey, NULLIF(o_orderstatus, 'F') AS st FROM orders) q WHERE st <> 'O'"),
     "filter_boolean": ("part", "SELECT p_partkey, p_size > 25 AS is_large FROM part WHERE (p_size > 25) = TRUE"),
-    "rowid_point": ("orders", "SELECT o_orderkey, o_totalprice FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY o_orderkey) AS row_id FROM orders) q WHERE row_id = 42"),
     # expressions
     "arith_mixed": ("lineitem", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ROUND(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge, -l_quantity AS neg, l_orderkey % 7 AS m FROM lineitem"),
     "case_cast": ("part", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS size_class, CAST(p_size AS DOUBLE) AS size_d, CAST(p_size AS VARCHAR(10)) AS size_s FROM part"),
@@ -135,10 +140,28 @@ SHARED: dict[str, tuple[str, str]] = {
 }
 
 
+_readers: dict[tuple[str, str], tuple[Engine, dict[str, int]]] = {}
+
+
+def _reader(spark: SparkSession, sf_dir: str, tables: Iterable[str]) -> Engine:
+    """One engine for all queries of an application that change nothing; a test
+    table is attached again when its file or folder has changed."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _readers:
+        _readers[key] = Engine(spark), {}
+    engine, seen = _readers[key]
+    engine.inherit(("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"))
+    for t in tables:
+        changed = sources.modified(spark, f"{sf_dir}/{t}.parquet")
+        if seen.get(t) != changed:
+            engine.attach(t, _t(spark, sf_dir, t))
+            seen[t] = changed
+    return engine
+
+
 def _shared(tables: str, sql: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        views(spark, sf_dir, tables.split())
-        return spark.sql(sql)
+        return _reader(spark, sf_dir, tables.split()).execute(sql)
 
     return run
 
@@ -188,42 +211,157 @@ def rowid_range(spark, sf_dir):
     return relational.with_rowid(_t(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], "rid").where("rid BETWEEN 100 AND 110").select("rid", "o_orderkey")
 
 
-@query("join_natural", "SELECT n_regionkey, COUNT(*) AS n FROM nation GROUP BY n_regionkey")
-def join_natural(spark, sf_dir):
-    views(spark, sf_dir, ["nation"])
-    return spark.sql("SELECT n_regionkey, COUNT(*) AS n FROM (SELECT n_nationkey, n_regionkey FROM nation) a NATURAL JOIN (SELECT n_nationkey, n_name FROM nation) b GROUP BY n_regionkey")
+#: name -> (tables, SQL of the engine's dialect, SQL of the oracle)
+DIALECT: dict[str, tuple[str, str, str]] = {
+    "join_natural": (
+        "nation",
+        "SELECT n_regionkey, COUNT(*) AS n FROM (SELECT n_nationkey, n_regionkey FROM nation) a NATURAL JOIN (SELECT n_nationkey, n_name FROM nation) b GROUP BY n_regionkey",
+        "SELECT n_regionkey, COUNT(*) AS n FROM nation GROUP BY n_regionkey",
+    ),
+    "sub_any": ("part nation", *["SELECT p_partkey FROM part WHERE p_size > ANY (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)"] * 2),
+    "sub_all": ("part nation", *["SELECT p_partkey FROM part WHERE p_size > ALL (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)"] * 2),
+    "int_division": (
+        "part",
+        "SELECT p_partkey, p_partkey / p_size AS q, -p_partkey / 7 / 2 AS r, ROUND(p_retailprice / p_size, 6) AS x, p_size / (p_size - p_size) AS z FROM part",
+        "SELECT p_partkey, CAST(p_partkey // p_size AS BIGINT) AS q, CAST(trunc(trunc(-p_partkey / 7) / 2) AS BIGINT) AS r, ROUND(p_retailprice / p_size, 6) AS x, CAST(NULL AS BIGINT) AS z FROM part",
+    ),
+    "sql_comments": ("region", "SELECT r_regionkey, /* a ; b */ r_name -- the name\nFROM region -- 'all'", "SELECT r_regionkey, r_name FROM region"),
+    "sort_ordinal": ("supplier", *["SELECT s_name, s_acctbal FROM supplier ORDER BY 2 DESC, 1 LIMIT 7"] * 2),
+    "limit_all": ("region", "SELECT r_name FROM region ORDER BY r_name LIMIT ALL", "SELECT r_name FROM region"),
+    "join_lateral": ("customer orders", *["SELECT c.c_custkey, q.top FROM customer c, LATERAL (SELECT MAX(o.o_totalprice) AS top FROM orders o WHERE o.o_custkey = c.c_custkey) q WHERE c.c_custkey < 500"] * 2),
+    "agg_collect": (
+        "orders",
+        "SELECT o_custkey, ARRAY_JOIN(SORT_ARRAY(COLLECT_LIST(o_orderkey)), ',') AS keys FROM orders GROUP BY o_custkey",
+        "SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS keys FROM orders GROUP BY o_custkey",
+    ),
+    "agg_approximate": (
+        "orders",
+        "SELECT ABS(APPROX_COUNT_DISTINCT(o_custkey, 0.02) - COUNT(DISTINCT o_custkey)) <= 0.08 * COUNT(DISTINCT o_custkey) AS near, CAST(COUNT(DISTINCT o_custkey) AS BIGINT) AS n FROM orders",
+        "SELECT TRUE AS near, COUNT(DISTINCT o_custkey) AS n FROM orders",
+    ),
+    "total_sql": ("orders", "SELECT TOTAL(o_custkey) AS t FROM orders WHERE o_orderkey < 0", "SELECT CAST(0 AS BIGINT) AS t"),
+    "json_sql": (
+        "events",
+        "SELECT event_id, CAST(JSON_EXTRACT(props, '$.k') AS DOUBLE) AS k, JSON_VALID(event_type) AS ok, JSON(event_type) AS j, JSON_TYPE(props) AS kind, JSON_ARRAY(event_id, event_type) AS a, JSON_OBJECT('id', event_id) AS o FROM events",
+        "SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, FALSE AS ok, CAST(NULL AS VARCHAR) AS j, 'object' AS kind, '[' || event_id || ',\"' || event_type || '\"]' AS a, '{\"id\":' || event_id || '}' AS o FROM events",
+    ),
+    "json_paths": (
+        "region",
+        """SELECT r_regionkey, JSON_EXTRACT(j, '$.a[0][1]') AS x, JSON_EXTRACT(j, '$.a[1][0].b.c') AS y, JSON_TYPE(j, '$.a[0]') AS t, JSON_TYPE(j, '$.a[0][0]') AS u, JSON_EXTRACT(j, '$.a[9]') AS z
+        FROM (SELECT r_regionkey, '{"a":[[' || r_regionkey || ',"n"],[{"b":{"c":"' || r_name || '"}}]]}' AS j FROM region) q""",
+        """SELECT r_regionkey, json_extract_string(j, '$.a[0][1]') AS x, json_extract_string(j, '$.a[1][0].b.c') AS y, lower(json_type(j, '$.a[0]')) AS t, CASE WHEN json_type(j, '$.a[0][0]') = 'UBIGINT' THEN 'real' END AS u, json_extract_string(j, '$.a[9]') AS z
+        FROM (SELECT r_regionkey, '{"a":[[' || r_regionkey || ',"n"],[{"b":{"c":"' || r_name || '"}}]]}' AS j FROM region) q""",
+    ),
+    "highlight_sql": ("region", "SELECT r_regionkey, HIGHLIGHT('the big apple', 'BIG') AS h FROM region", "SELECT r_regionkey, 'the **big** apple' AS h FROM region"),
+    "bbox_sql": (
+        "customer",
+        "SELECT c_custkey, BBOX_AREA(0, c_nationkey, 0, 2) AS area, BBOX_INTERSECTS(0, c_nationkey, 0, 2, 5, 9, 1, 3) AS meets, BBOX_CONTAINS_POINT(0, c_nationkey, 0, 2, 7, 1) AS holds, ROUND(BBOX_DISTANCE(0, c_nationkey, 0, 2, 20, 2), 6) AS d FROM customer",
+        "SELECT c_custkey, c_nationkey * 2.0::DOUBLE AS area, c_nationkey >= 5 AS meets, c_nationkey >= 7 AS holds, ROUND(greatest(0, 20 - c_nationkey)::DOUBLE, 6) AS d FROM customer",
+    ),
+    "vec_sql_literal": (
+        "region",
+        "SELECT r_regionkey, ROUND(L2_DISTANCE([r_regionkey, 0, 1], [0, 2.5, 1]), 6) AS d, ROUND(VECTOR_COSINE_SIMILARITY([r_regionkey, 1], [1, 0]), 6) AS c FROM region ORDER BY L2_DISTANCE([r_regionkey, 0, 1], [0, 2.5, 1])",
+        "SELECT r_regionkey, ROUND(sqrt(r_regionkey * r_regionkey + 6.25), 6) AS d, ROUND(r_regionkey / sqrt(r_regionkey * r_regionkey + 1), 6) AS c FROM region",
+    ),
+}
+for _name, (_tables, _sql, _oracle) in DIALECT.items():
+    QUERIES[_name] = _shared(_tables, _sql)
+    ORACLE[_name] = _oracle
 
 
-@query("sub_any", "SELECT p_partkey FROM part WHERE p_size > ANY (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
-def sub_any(spark, sf_dir):
-    views(spark, sf_dir, ["part", "nation"])
-    return spark.sql("SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM nation WHERE n_regionkey = 1 AND p_size > n_nationkey)")
+@query("rowid_point", "SELECT o_orderkey, o_totalprice FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY o_orderkey) AS row_id FROM orders) q WHERE row_id = 42")
+def rowid_point(spark, sf_dir):
+    rows = relational.with_rowid(_t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], "rid")
+    return rows.where("rid = 42").select("o_orderkey", "o_totalprice")
 
 
-@query("sub_all", "SELECT p_partkey FROM part WHERE p_size > ALL (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
-def sub_all(spark, sf_dir):
-    views(spark, sf_dir, ["part", "nation"])
-    return spark.sql("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_regionkey = 1 AND (p_size > n_nationkey) IS NOT TRUE)")
+@query("rowid_sql", "SELECT CAST(n_nationkey + 1 AS BIGINT) AS rid, n_name FROM nation WHERE n_nationkey BETWEEN 4 AND 8")
+def rowid_sql(spark, sf_dir):
+    with _engine(spark, sf_dir, "nation") as e:
+        e.execute("CREATE TABLE n (k INTEGER, name TEXT)")
+        for sql in ("n_nationkey < 10", "n_nationkey >= 10"):
+            e.execute(f"INSERT INTO n SELECT n_nationkey, n_name FROM nation WHERE {sql} ORDER BY n_nationkey")
+        return e.execute("SELECT rowid AS rid, name AS n_name FROM n WHERE rowid BETWEEN 5 AND 9")
 
 
 @query("view_expand", "SELECT o_custkey, CAST(COUNT(*) AS BIGINT) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY o_custkey")
 def view_expand(spark, sf_dir):
-    views(spark, sf_dir, ["orders"])
-    spark.sql("CREATE OR REPLACE TEMP VIEW big_orders AS SELECT * FROM orders WHERE o_totalprice > 100000")
-    return spark.sql("SELECT o_custkey, COUNT(*) AS n FROM big_orders GROUP BY o_custkey")
+    with _engine(spark, sf_dir, "orders") as e:
+        e.execute("CREATE VIEW big_orders AS SELECT * FROM orders WHERE o_totalprice > 100000")
+        return e.execute("SELECT o_custkey, COUNT(*) AS n FROM big_orders GROUP BY o_custkey")
 
 
 @query("view_columns", "SELECT o_orderkey AS k, o_totalprice AS price FROM orders WHERE o_orderstatus = 'F'")
 def view_columns(spark, sf_dir):
-    views(spark, sf_dir, ["orders"])
-    spark.sql("CREATE OR REPLACE TEMP VIEW done(k, price) AS SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
-    return spark.sql("SELECT k, price FROM done")
+    with _engine(spark, sf_dir, "orders") as e:
+        e.execute("CREATE VIEW done(k, price) AS SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+        e.execute("CREATE VIEW gone AS SELECT 1 AS one")
+        e.execute("DROP VIEW gone")
+        e.execute("DROP VIEW IF EXISTS gone")
+        return e.execute("SELECT k, price FROM done")
+
+
+@query("view_check_option", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT 900001, 6000.0")
+def view_check_option(spark, sf_dir):
+    with _engine(spark, sf_dir, "customer") as e:
+        e.execute("CREATE TABLE c AS SELECT c_custkey, c_acctbal FROM customer")
+        e.execute("CREATE VIEW rich AS SELECT c_custkey, c_acctbal FROM c WHERE c_acctbal > 5000 WITH CHECK OPTION")
+        e.execute("INSERT INTO rich VALUES (900001, 6000.0)")
+        _refused(e, "INSERT INTO rich VALUES (900002, 10.0)")
+        _refused(e, "UPDATE rich SET c_acctbal = 0 WHERE c_custkey = 900001")
+        return e.execute("SELECT * FROM rich")
 
 
 @query("prepared_parameters", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 AND o_totalprice > 1000.0")
 def prepared_parameters(spark, sf_dir):
-    views(spark, sf_dir, ["orders"])
-    return spark.sql("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = ? AND o_totalprice > ?", args=[7, 1000.0])
+    e = _reader(spark, sf_dir, ["orders"])
+    statement = e.prepare("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = ? AND o_totalprice > ?")
+    e.execute_prepared(statement, [1, 5.0])
+    return e.execute_prepared(statement, [7, 1000.0])
+
+
+@query("function_registration", "SELECT p_partkey, p_size * 2 + 1 AS y FROM part WHERE p_size > 40")
+def function_registration(spark, sf_dir):
+    e = _reader(spark, sf_dir, ["part"])
+
+    def odd(x: pd.Series) -> pd.Series:
+        return x * 2 + 1
+
+    e.register_function("twice_and_one", F.pandas_udf(odd, "long"))
+    return e.execute("SELECT p_partkey, TWICE_AND_ONE(p_size) AS y FROM part WHERE p_size > 40")
+
+
+@query("join_interval", "SELECT o_orderkey, b.lo FROM orders JOIN (SELECT s_acctbal * 30 AS lo, s_acctbal * 30 + 900 AS hi FROM supplier) b ON o_totalprice BETWEEN b.lo AND b.hi")
+def join_interval(spark, sf_dir):
+    bands = _t(spark, sf_dir, "supplier").selectExpr("s_acctbal * 30 AS lo", "s_acctbal * 30 + 900 AS hi")
+    out = relational.interval_join(_t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), bands, "o_totalprice", "lo", "hi", 900.0)
+    return out.select("o_orderkey", "lo")
+
+
+@query("join_salted", "SELECT c.c_custkey, o.o_orderkey FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_totalprice > 200000")
+def join_salted(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders").where("o_totalprice > 200000").selectExpr("o_custkey AS k", "o_orderkey")
+    return relational.salted_join(orders, _t(spark, sf_dir, "customer").selectExpr("c_custkey AS k"), "k").selectExpr("k AS c_custkey", "o_orderkey")
+
+
+@query("asof_join_buckets", "SELECT c.event_id, (SELECT max_by(p.event_id, struct_pack(t := p.ts, i := p.event_id)) FROM events p WHERE p.event_type = 'purchase' AND p.user_id = c.user_id AND p.ts < c.ts) AS prev_id FROM events c WHERE c.event_type = 'click'")
+def asof_join_buckets(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events")
+    out = relational.asof_join(ev.where("event_type = 'click'"), ev.where("event_type = 'purchase'").withColumnRenamed("event_id", "prev_id"), "user_id", "ts", ["prev_id"], ["prev_id"], "date_trunc('day', ts)")
+    return out.select("event_id", "prev_id")
+
+
+@query("source_formats", "SELECT n_nationkey, n_name, 4 AS copies FROM nation")
+def source_formats(spark, sf_dir):
+    """A table written and read back in four formats."""
+    nation = _t(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    parts = []
+    with _engine(spark, sf_dir) as e:
+        for kind in ("parquet", "orc", "json", "csv"):
+            sources.write(nation, f"{e.path}/{kind}", kind)
+            parts.append(sources.read(spark, f"{e.path}/{kind}", kind, nation.schema))
+    every = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+    return every.groupBy("n_nationkey", "n_name").agg(F.count("*").cast("int").alias("copies"))
 
 
 @query("asof_join", "SELECT c.event_id, (SELECT max_by(p.event_id, struct_pack(t := p.ts, i := p.event_id)) FROM events p WHERE p.event_type = 'purchase' AND p.user_id = c.user_id AND p.ts < c.ts) AS prev_id FROM events c WHERE c.event_type = 'click'")
@@ -348,6 +486,21 @@ def fts_highlight(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", fts.highlight(F.col("p_type"), "E").alias("h"))
 
 
+@query("match_sql", f"SELECT doc_id FROM documents WHERE list_has_all({_TOKENS}, ['the', 'of']) AND NOT list_contains({_TOKENS}, 'was')")
+def match_sql(spark, sf_dir):
+    return _reader(spark, sf_dir, ["documents"]).execute("SELECT doc_id FROM documents WHERE text MATCH 'the of -was'")
+
+
+@query("match_columns", "SELECT p_partkey FROM part WHERE p_partkey % 2 = 1 AND regexp_split_to_array(lower(p_name), '[^a-z0-9]+')[1] = split_part(lower((SELECT p_name FROM part WHERE p_partkey = 5)), ' ', 1)")
+def match_columns(spark, sf_dir):
+    word = _t(spark, sf_dir, "part").where("p_partkey = 5").select(F.split(F.lower("p_name"), " ")[0]).first()[0]
+    with _engine(spark, sf_dir, "part") as e:
+        e.execute("CREATE VIRTUAL TABLE d USING FTS5(name, other)")
+        e.execute("INSERT INTO d SELECT element_at(split(p_name, ' '), 1), CAST(p_partkey AS STRING) FROM part")
+        e.execute("DELETE FROM d WHERE CAST(other AS INTEGER) % 2 = 0")
+        return e.execute(f"SELECT CAST(other AS BIGINT) AS p_partkey FROM d WHERE d MATCH 'name:{word}'")
+
+
 # spatial --------------------------------------------------------------------
 
 _BOXES = "(SELECT c_custkey AS id, c_acctbal AS x0, c_acctbal + 50 AS x1, CAST(c_custkey % 1000 AS DOUBLE) AS y0, CAST(c_custkey % 1000 + 5 AS DOUBLE) AS y1 FROM customer)"
@@ -467,6 +620,156 @@ def txn_commit(spark, sf_dir):
         return e.execute("SELECT * FROM r")
 
 
+def _refused(e: Engine, sql: str) -> None:
+    """Run a statement that a constraint must refuse."""
+    try:
+        e.execute(sql)
+    except ConstraintError:
+        return
+    raise AssertionError(f"not refused: {sql}")
+
+
+@query("dml_insert_many", "SELECT CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(id) AS BIGINT) AS s, CAST(10000 AS BIGINT) AS last FROM range(10000) r(id)")
+def dml_insert_many(spark, sf_dir):
+    with _engine(spark, sf_dir) as e:
+        e.execute("CREATE TABLE t (id INTEGER, name TEXT)")
+        e.execute("INSERT INTO t VALUES " + ", ".join(f"({k}, 'row {k}')" for k in range(10_000)))
+        return e.execute("SELECT COUNT(*) AS n, SUM(id) AS s, MAX(rowid) AS last FROM t")
+
+
+@query("dml_with_cte", "SELECT c_custkey, CASE WHEN c_acctbal > 9000 THEN 1.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_nationkey <> 3")
+def dml_with_cte(spark, sf_dir):
+    with _engine(spark, sf_dir, "customer") as e:
+        e.execute("CREATE TABLE c (c_custkey INTEGER, c_acctbal REAL, c_nationkey INTEGER)")
+        e.execute("WITH q AS (SELECT c_custkey, c_acctbal, c_nationkey FROM customer) INSERT INTO c SELECT * FROM q")
+        e.execute("WITH q AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 9000) UPDATE c SET c_acctbal = 1.0 WHERE c_custkey IN (SELECT k FROM q)")
+        e.execute("WITH q AS (SELECT c_custkey AS k FROM customer WHERE c_nationkey = 3) DELETE FROM c WHERE c_custkey IN (SELECT k FROM q)")
+        return e.execute("SELECT c_custkey, c_acctbal FROM c")
+
+
+@query("ddl_flags", "SELECT r_regionkey FROM region")
+def ddl_flags(spark, sf_dir):
+    with _engine(spark, sf_dir, "region") as e:
+        e.execute("CREATE TABLE IF NOT EXISTS r (r_regionkey INTEGER)")
+        e.execute("CREATE TABLE IF NOT EXISTS r (other TEXT)")
+        e.execute("CREATE TABLE gone (x INTEGER)")
+        e.execute("DROP TABLE gone")
+        e.execute("DROP TABLE IF EXISTS gone")
+        e.execute("CREATE INDEX ix ON r (r_regionkey)")
+        e.execute("DROP INDEX ix")
+        e.execute("INSERT INTO r SELECT r_regionkey FROM region")
+        return e.execute("SELECT * FROM r")
+
+
+@query("index_unique", "SELECT n_nationkey, n_name FROM nation")
+def index_unique(spark, sf_dir):
+    with _engine(spark, sf_dir, "nation") as e:
+        e.execute("CREATE TABLE n AS SELECT n_nationkey, n_name FROM nation")
+        e.execute("CREATE UNIQUE INDEX u ON n (n_name)")
+        _refused(e, "INSERT INTO n SELECT 99, n_name FROM nation WHERE n_nationkey = 1")
+        _refused(e, "UPDATE n SET n_name = 'one'")
+        return e.execute("SELECT * FROM n")
+
+
+@query("index_hnsw", f"SELECT e.vec_id, ROUND({_DIST}, 5) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id < 50 ORDER BY {_DIST}, e.vec_id LIMIT 5")
+def index_hnsw(spark, sf_dir):
+    q = _query_vector(spark, sf_dir)
+    with _engine(spark, sf_dir, "embeddings") as e:
+        e.execute(f"CREATE TABLE v (vec_id INTEGER, emb VECTOR({len(q)}))")
+        e.execute("INSERT INTO v SELECT vec_id, embedding FROM embeddings WHERE vec_id < 50")
+        e.execute("CREATE INDEX ix ON v USING HNSW (emb)")
+        e.execute("DROP INDEX ix")
+        d = f"L2_DISTANCE(emb, [{', '.join(map(str, q))}])"
+        return e.execute(f"SELECT vec_id, ROUND({d}, 5) AS distance FROM v ORDER BY {d}, vec_id LIMIT 5")
+
+
+@query("constraints", "SELECT p_partkey, p_size, 'none' AS note, p_size * 2 AS twice FROM part WHERE p_size > 10")
+def constraints(spark, sf_dir):
+    with _engine(spark, sf_dir, "part") as e:
+        e.execute("CREATE TABLE p (p_partkey INTEGER PRIMARY KEY, p_size INTEGER NOT NULL CHECK (p_size > 10), note TEXT DEFAULT 'none', twice INTEGER GENERATED ALWAYS AS (p_size * 2))")
+        e.execute("INSERT INTO p (p_partkey, p_size) SELECT p_partkey, p_size FROM part WHERE p_size > 10")
+        for row in ("(900001, 5, 'x')", "(900001, NULL, 'x')", "(NULL, 20, 'x')"):
+            _refused(e, f"INSERT INTO p (p_partkey, p_size, note) VALUES {row}")
+        _refused(e, "INSERT INTO p (p_partkey, p_size) SELECT MIN(p_partkey), 20 FROM p")
+        return e.execute("SELECT * FROM p")
+
+
+@query("txn_savepoint", "SELECT r_regionkey, CASE WHEN r_regionkey = 2 THEN 'two' ELSE r_name END AS r_name FROM region WHERE r_regionkey > 0")
+def txn_savepoint(spark, sf_dir):
+    with _engine(spark, sf_dir, "region") as e:
+        e.execute("CREATE TABLE r AS SELECT r_regionkey, r_name FROM region")
+        e.execute("BEGIN")
+        e.execute("DELETE FROM r WHERE r_regionkey = 0")
+        e.execute("SAVEPOINT a")
+        e.execute("DELETE FROM r")
+        e.execute("ROLLBACK TO SAVEPOINT a")
+        e.execute("UPDATE r SET r_name = 'two' WHERE r_regionkey = 2")
+        e.execute("RELEASE SAVEPOINT a")
+        e.execute("COMMIT")
+        return e.execute("SELECT * FROM r")
+
+
+@query("txn_batch", "SELECT CAST(i AS BIGINT) AS id FROM range(20) r(i)")
+def txn_batch(spark, sf_dir):
+    with _engine(spark, sf_dir) as e:
+        e.execute("CREATE TABLE t (id INTEGER)")
+        with e.batch():
+            for k in range(0, 20, 5):
+                e.execute("INSERT INTO t VALUES " + ", ".join(f"({k + i})" for i in range(5)))
+        return e.execute("SELECT * FROM t")
+
+
+@query("snapshot_read", "SELECT r_regionkey, r_name, TRUE AS still FROM region")
+def snapshot_read(spark, sf_dir):
+    """What a snapshot sees after the table was changed and old versions went."""
+    with _engine(spark, sf_dir, "region") as e:
+        e.execute("CREATE TABLE r AS SELECT r_regionkey, r_name FROM region")
+        old = e.snapshot()
+        e.execute("UPDATE r SET r_name = 'new'")
+        e.execute("DELETE FROM r WHERE r_regionkey > 2")
+        e.execute("VACUUM 0")
+        return old.execute("SELECT r_regionkey, r_name, TRUE AS still FROM r")
+
+
+@query("commit_conflict", "SELECT 'b' AS r_name, TRUE AS refused FROM region")
+def commit_conflict(spark, sf_dir):
+    """Of two transactions on one table the second is refused."""
+    with _engine(spark, sf_dir, "region") as a:
+        a.execute("CREATE TABLE r AS SELECT r_name FROM region")
+        b = Engine(spark, a.path)
+        a.execute("BEGIN")
+        b.execute("BEGIN")
+        a.execute("UPDATE r SET r_name = 'a'")
+        b.execute("UPDATE r SET r_name = 'b'")
+        b.execute("COMMIT")
+        try:
+            a.execute("COMMIT")
+            refused = False
+        except ConflictError:
+            refused = True
+        return a.execute(f"SELECT r_name, {refused} AS refused FROM r")
+
+
+@query("trigger_instead_of", "SELECT r_regionkey + 100 AS id, r_name AS name FROM region WHERE r_regionkey < 2")
+def trigger_instead_of(spark, sf_dir):
+    with _engine(spark, sf_dir, "region") as e:
+        e.execute("CREATE TABLE t (id INTEGER, name TEXT)")
+        e.execute("CREATE VIEW v AS SELECT id, name FROM t")
+        e.execute("CREATE TRIGGER i INSTEAD OF INSERT ON v BEGIN INSERT INTO t VALUES (NEW.id + 100, NEW.name); END")
+        e.execute("CREATE TRIGGER u AFTER INSERT ON t BEGIN INSERT INTO t VALUES (0, 'never'); END")
+        e.execute("DROP TRIGGER u")
+        e.execute("INSERT INTO v SELECT r_regionkey, r_name FROM region WHERE r_regionkey < 2")
+        return e.execute("SELECT * FROM t")
+
+
+@query("rtree_sql", f"SELECT CAST(id AS BIGINT) AS id FROM {_BOXES} b WHERE x0 <= 3000 AND x1 >= 1000 AND y0 <= 400 AND y1 >= 100")
+def rtree_sql(spark, sf_dir):
+    with _engine(spark, sf_dir, "customer") as e:
+        e.execute("CREATE VIRTUAL TABLE r USING RTREE(id, min_x, max_x, min_y, max_y)")
+        e.execute(f"INSERT INTO r SELECT id, x0, x1, y0, y1 FROM {_BOXES} b")
+        return e.execute("SELECT CAST(id AS BIGINT) AS id FROM r WHERE BBOX_INTERSECTS(min_x, max_x, min_y, max_y, 1000, 3000, 100, 400)")
+
+
 _FK = ("CREATE TABLE n (n_nationkey INTEGER PRIMARY KEY, n_name TEXT)", "CREATE TABLE s (s_suppkey INTEGER PRIMARY KEY, s_nationkey INTEGER REFERENCES n(n_nationkey) ON DELETE {})", "INSERT INTO n SELECT n_nationkey, n_name FROM nation", "INSERT INTO s SELECT s_suppkey, s_nationkey FROM supplier")
 
 
@@ -524,9 +827,7 @@ class _engine:
     def __init__(self, spark: SparkSession, sf_dir: str, *tables: str):
         self.spark, self.sf_dir, self.tables = spark, sf_dir, tables
 
-    def __enter__(self):
-        from skarn.session import Engine
-
+    def __enter__(self) -> Engine:
         engine = Engine(self.spark)
         for t in self.tables:
             engine.attach(t, _t(self.spark, self.sf_dir, t))

@@ -31,6 +31,12 @@ def write(df: DataFrame, path: str, format: str = "parquet", mode: str = "errori
     writer.format(format).save(path)
 
 
+def modified(spark: SparkSession, path: str) -> int:
+    """When a file, or the list of files of a folder, last changed."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime()
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return read(spark, f"{directory}/{name}.parquet")
 
