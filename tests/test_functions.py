@@ -1,5 +1,7 @@
 """Functions and operators on small fixtures with known answers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +118,60 @@ def test_sources(spark, tmp_path):
         assert sorted(map(tuple, tables.read(spark, path, fmt, "a int, b string").collect())) == [(1, "x"), (2, "y")]
     with pytest.raises(ValueError):
         tables.read(spark, "x", "xlsx")
+
+
+def test_match_is_the_token_rule(spark):
+    rng = random.Random(3)
+    parts = ["cat", "Cat", "dog", "concat", "cat's", "a.b", "ab", "x", "é", " ", " ", "  ", "\n", "-", "...", "(", '"', " ", "\t"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(1500)] + [None, ""]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string")
+    tokens = {r.id: r.t for r in df.select("id", fts.tokenize(F.col("text")).alias("t")).collect()}
+    runs = lambda t, words: any(t[i : i + len(words)] == words for i in range(len(t)))
+    for query, words in (("cat", ["cat"]), ("a.b", ["a.b"]), ("cat's", ["cat's"]), ("é", ["é"]), ('"cat dog"', ["cat", "dog"]), ('"x ab cat"', ["x", "ab", "cat"])):
+        got = {r.id for r in df.where(fts.match(query, ["text"])).collect()}
+        assert got == {k for k, t in tokens.items() if t and runs(t, words)}, query
+    none = {r.id for r in df.where(fts.match("-cat", ["text"])).collect()}
+    assert none == {k for k, t in tokens.items() if not t or "cat" not in t}
+
+
+def test_knn_in_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(k, [rng.random(), rng.random()]) for k in range(60)], "id int, v array<double>")
+    whole = sorted(map(tuple, vector.knn_join(df, df, "id", "v", 3).collect()))
+    monkeypatch.setattr(vector, "BLOCK_ROWS", 7)
+    cut = vector.knn_join(df, df, "id", "v", 3)
+    assert sorted(map(tuple, cut.collect())) == whole and len(whole) == 180
+    assert "CartesianProduct" not in cut._jdf.queryExecution().executedPlan().toString()
+
+
+def test_box_join_of_small_and_huge_boxes(spark):
+    rng = random.Random(5)
+
+    def boxes(n):
+        out = []
+        for k in range(n):
+            size = rng.choice([0, 0.5, 1, 3, 40, 5000])
+            x, y = rng.uniform(-100, 100), rng.uniform(-100, 100)
+            out.append((k, x, x + size, y, y + rng.choice([0, 1, size])))
+        return out
+
+    a, b = boxes(120), boxes(120)
+    left = spark.createDataFrame(a, "id int, x0 double, x1 double, y0 double, y1 double")
+    right = spark.createDataFrame(b, "sid int, u0 double, u1 double, v0 double, v1 double")
+    got = spatial.box_join(left, right, spatial.Box.of("x0", "x1", "y0", "y1"), spatial.Box.of("u0", "u1", "v0", "v1"), 1.0).select("id", "sid").collect()
+    want = [(p[0], q[0]) for p in a for q in b if p[1] <= q[2] and p[2] >= q[1] and p[3] <= q[4] and p[4] >= q[3]]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_asof_and_interval_joins_by_brute_force(spark):
+    rng = random.Random(6)
+    left = [(k, rng.choice("ab"), rng.randint(0, 60)) for k in range(80)]
+    right = [(rng.choice("ab"), rng.randint(0, 60), k) for k in range(40)]
+    ldf, rdf = spark.createDataFrame(left, "id int, k string, t int"), spark.createDataFrame(right, "k string, t int, v int")
+    want = {i: max(((t2, v) for k2, t2, v in right if k2 == k and t2 < t), default=(0, None))[1] for i, k, t in left}
+    for bucket in (None, "floor(t / 7)"):
+        got = relational.asof_join(ldf, rdf, "k", "t", ["v"], ["v"], bucket)
+        assert got.columns == ["id", "k", "t", "v"] and {r.id: r.v for r in got.collect()} == want
+    spans = spark.createDataFrame([(k, t, t + v % 9 - 1, v) for k, t, v in right], "k string, lo int, hi int, s int")
+    got = relational.interval_join(ldf, spans, "t", "lo", "hi", 5.0, ["k"]).select("id", "s").collect()
+    assert sorted(map(tuple, got)) == sorted((i, v) for i, k, t in left for k2, lo, v in right if k == k2 and lo <= t <= lo + v % 9 - 1)
