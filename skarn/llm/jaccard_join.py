@@ -36,7 +36,8 @@ Texts are read three times, and sets are built only for classes left after 3.
 Defined cases: as the contract of the query states for short, empty and null
 texts; rows of one doc_id are separate documents with one id and take the
 smallest component among themselves only if their texts link; a null doc_id
-ranks last and stays null.
+ranks last and stays null (as does the largest long); columns besides id and text
+are not read.
 """
 
 from __future__ import annotations
@@ -297,9 +298,16 @@ def _rare_first(index: DataFrame, owner: list[str], put: Column, most: Column) -
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
+    real = lambda c: F.when(c != NO_ID, c)
+    return _joined(docs).select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def _joined(docs: DataFrame) -> DataFrame:
+    """doc_id (NO_ID for null), text_hash, n of each row, the node of its component
+    (null for an empty set) and the component's smallest id."""
     spark = docs.sparkSession
     common.ship(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MAX_BITS, max(MIN_BITS, 1 << (size // 3).bit_length()))
     shared = spark.sparkContext.broadcast(_twice(docs, bits))
@@ -319,10 +327,10 @@ def join(docs: DataFrame) -> DataFrame:
                 ranges.append(c)
                 own.append(suspects(a))
                 up.append(suspects(b))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": n, "sig": sig, "rep": list(map(_node, sig)), "range": ranges, "own": own, "up": up})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"], "n": n, "sig": sig, "rep": list(map(_node, sig)), "range": ranges, "own": own, "up": up})
         common.trim()
 
-    profile = common.materialise(docs.mapInPandas(profile_of, "doc_id long, n long, sig binary, rep long, range int, own array<long>, up array<long>"), "profile")
+    profile = common.materialise(docs.mapInPandas(profile_of, "doc_id long, text_hash long, n long, sig binary, rep long, range int, own array<long>, up array<long>"), "profile")
     reps = profile.where("n > 0").groupBy("sig").agg(F.first("rep").alias("rep"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("range").alias("range"), F.first("own").alias("own"), F.first("up").alias("up"))
     reps = common.materialise(reps, "reps")
 
@@ -385,15 +393,22 @@ def join(docs: DataFrame) -> DataFrame:
     # A component's name is its smallest doc_id.
     member = labels.unionAll(labels.select(F.col("comp").alias("rep"), "comp").distinct())
     low = member.join(reps.select("rep", "first"), "rep").groupBy("comp").agg(F.min("first").alias("component"))
-    named = member.join(low, "comp").select("rep", "component")
-    classes = reps.select("sig", "rep", "first").join(named, "rep", "left").select("sig", F.coalesce("component", "first").alias("component"))
-    out = profile.select("doc_id", "n", "sig").join(classes, "sig", "left")
-    real = lambda c: F.when(c != NO_ID, c)
-    return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "doc_id")).alias("component_id"))
+    named = member.join(low, "comp").select("rep", "comp", "component")
+    classes = reps.select("sig", "rep", "first").join(named, "rep", "left").select("sig", F.coalesce("comp", "rep").alias("node"), F.coalesce("component", "first").alias("component"))
+    return profile.select("doc_id", "text_hash", "n", "sig").join(classes, "sig", "left").drop("sig")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest id of their component, with their
-    own columns; documents without an id or words stay."""
-    gone = join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """One row of each component, with its own columns: that of the smallest id
+    (of several texts with that id, that of the smallest hash; of rows alike in id
+    and text, any one).  Rows without words stay."""
+    rows = common.materialise(_joined(docs).where("n > 0").groupBy("doc_id", "text_hash", "node").agg(F.count("*").alias("copies")), "rows")
+    first = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("stays"))
+    judged = rows.join(first, "node").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "copies", (F.struct("doc_id", "text_hash") == F.col("stays")).alias("stays"))
+    key = [F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("__id"), F.xxhash64(docs["text"]) == F.col("__hash")]
+    kept = docs.join(judged.where("not stays"), key, "left_anti")
+    several = judged.where("stays and copies > 1")
+    if several.isEmpty():
+        return kept
+    one = docs.join(several, key).dropDuplicates(["__id", "__hash"]).select(docs.columns)
+    return kept.join(several, key, "left_anti").unionByName(one)

@@ -234,20 +234,81 @@ def test_token_file(spark, corpus, docs, empty):
 
 def test_decontamination(spark):
     rng = random.Random(9)
-    items = [(1, "If Anna has 12 apples and buys 5 kg of pears then how many 12 things does the shop of Anna hold"), (2, prose(rng, 25)), (3, "short one here"), (4, None), (5, "")]
+    items = [(1, "If Anna has 12 apples and buys 5 kg of pears then how many 12 things does the shop of Anna hold"), (2, prose(rng, 25)), (3, "short one here"), (4, None), (5, ""), (6, "12 13 14 15 16")]
     docs = [
         (10, prose(rng, 40) + " " + items[1][1] + " " + prose(rng, 10)),
         (11, "Intro text. If Berta has 77 apples and buys 9 kg of pears then how many 77 things does the shop of Berta hold, they asked"),
         (12, "Intro text. If Berta has 77 apples and buys 9 kg of pears then how many 31 things does the shop of Carla hold, they asked"),
-        (13, prose(rng, 60)), (14, "this is a short one here now"), (15, None), (16, ""), (None, items[1][1]),
+        (13, prose(rng, 60)), (14, "this is a short one here now"), (15, None), (16, ""), (None, items[1][1]), (17, "Short, one: here!"),
+        (18, "12 13 14 15 16"), (None, prose(rng, 30)), (10, prose(rng, 30)), (10, prose(rng, 40) + items[1][1]), (19, prose(rng, 9000) + " " + items[1][1]),
     ]
-    d = spark.createDataFrame(docs, "doc_id long, text string")
-    b = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(d, b).collect()}
-    assert set(got) == {(10, 2), (11, 1), (14, 3)}
-    assert got[10, 2].verbatim and not got[11, 1].verbatim and got[11, 1].n_slots == got[11, 1].n_consistent > 0
-    assert sorted(r.doc_id or 0 for r in decontaminate.drop_leaks(d, b).collect()) == [0, 12, 13, 15, 16]
+    d = spark.createDataFrame([(*r, "clash", k) for k, r in enumerate(docs)], "doc_id long, text string, item_id string, matched int")
+    b = spark.createDataFrame([(*r, 0) for r in items], "item_id long, text string, doc_id int")
+    got = collections.Counter((r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect())
+    assert got == {(10, 2): 2, (11, 1): 1, (17, 3): 1, (None, 2): 1, (19, 2): 1}
+    by = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(d, b).collect()}
+    assert by[10, 2].verbatim and not by[11, 1].verbatim and by[11, 1].n_slots == by[11, 1].n_consistent > 0
+    kept = decontaminate.drop_leaks(d, b)
+    assert kept.columns == d.columns and sorted(r.matched for r in kept.collect()) == [2, 3, 4, 5, 6, 9, 10, 11]
     assert decontaminate.leaks(d, b.limit(0)).count() == decontaminate.leaks(d.limit(0), b).count() == 0
+    assert decontaminate.drop_leaks(d.limit(0), b).count() == 0 and decontaminate.drop_leaks(d, b.limit(0)).count() == len(docs)
+
+
+def leaks_brute(doc, item):
+    """matched, windows, n_slots, n_consistent of token lists, or None."""
+    k = min(decontaminate.K, len(item))
+    mark = lambda w: w[0] if w < "\x04" else w
+    plain = [w for w in item if w >= "\x04"]
+    a, b = list(map(mark, item)), list(map(mark, doc))
+    wins = [i for i in range(len(item) - k + 1) if any(w >= "\x04" for w in item[i : i + k])]
+    if not wins or not doc:
+        return None
+    bands = collections.defaultdict(set)
+    for i in wins:
+        for p in range(len(doc) - k + 1):
+            if b[p : p + k] == a[i : i + k]:
+                for band in ((p - i) // decontaminate.DRIFT, (p - i) // decontaminate.DRIFT - 1):
+                    bands[band].add((i, p - i))
+    if not bands:
+        return None
+    band = min(bands, key=lambda x: (-len({i for i, _ in bands[x]}), x))
+    matched = len({i for i, _ in bands[band]})
+    if matched < decontaminate.COVERAGE * len(wins) or len(plain) < decontaminate.LEAST and not (len(doc) == len(item) and matched == len(wins)):
+        return None
+    slots = {}
+    for i, shift in sorted(bands[band], key=lambda x: x[1]):
+        for at in range(i, i + k):
+            if item[at] < "\x04":
+                slots.setdefault(at, doc[at + shift])
+    values = collections.defaultdict(set)
+    for at, v in slots.items():
+        values[item[at]].add(v)
+    good = sum(len(v) == 1 for v in values.values())
+    return (matched, len(wins), len(values), good) if good >= decontaminate.CONSISTENT * len(values) else None
+
+
+def test_decontamination_by_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(29)
+    words = ["the", "sum", "of", "is", "and", "Anna", "Bob", "12", "7", "30 km", "5%", "has", "kept"]
+    texts = lambda n, lo, hi: [(k, " ".join(rng.choice(words) for _ in range(rng.randint(lo, hi)))) for k in range(n)]
+    items = texts(30, 1, 30)
+    docs = texts(60, 0, 40)
+    for k in range(60, 110):  # items with words put in, taken out and changed
+        own = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(own) + 1)
+            own[at : at + rng.randint(0, 1)] = rng.choice([[], ["new"], ["99"], ["Carl"]])
+        docs.append((k, " ".join(["before"] * rng.randint(0, 9) + own + own * rng.randint(0, 1))))
+    docs.append((200, "sum of " + " ".join(map(str, range(3000)))))
+    items.append((100, "Say what the sum is and what it is of " + " ".join(map(str, range(200)))))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    cut = lambda df, key: {r[0]: r[1] for r in df.select(key, decontaminate.tokens(F.col("text"))).collect()}
+    dt, it = cut(d, "doc_id"), cut(b, "item_id")
+    want = {(x, y): got for x in dt for y in it if (got := leaks_brute(dt[x], it[y]))}
+    got = {(r.doc_id, r.item_id): (r.matched, r.windows, r.n_slots, r.n_consistent) for r in decontaminate.leaks(d, b).collect()}
+    assert got == want and len(want) > 15
 
 
 def winnow_brute(text):
@@ -394,6 +455,18 @@ def test_jaccard_join_repeated_rows_and_ids(spark):
     assert rows_of(jaccard_join.join(df)) == brute_components(docs)
 
 
+def test_keep_one_decides_by_row(spark):
+    rng = random.Random(33)
+    w, o, x = (prose(rng, 40) for _ in range(3))
+    rows = [(1, w), (5, w), (5, o), (7, x), (7, x), (7, None), (7, None), (None, x + " end"), (None, "alone"), (None, "alone"), (8, ""), (8, "")]
+    df = spark.createDataFrame([(*r, k, "n") for k, r in enumerate(rows)], "doc_id long, text string, n int, node string")
+    kept = jaccard_join.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id or 0, r.text or "") for r in kept.collect()), key=str)
+    assert got == sorted([(1, w), (5, o), (7, x), (7, ""), (7, ""), (0, "alone"), (8, ""), (8, "")], key=str)
+    assert jaccard_join.keep_one(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_join_family(spark, seed):
     """A family of copies near the threshold, and a passage that all share."""
