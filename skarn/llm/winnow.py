@@ -11,8 +11,10 @@ largest downwards, so that `least` picks the smallest hash and, among equal
 ones, the rightmost.
 
 Defined cases: null or blank text has an empty fingerprint; fewer than K words
-give one k-gram of all of them; two
-empty fingerprints are alike (1.0), one empty and one not are unlike (0.0).
+give one k-gram of all of them; two empty fingerprints are alike (1.0), one empty
+and one not are unlike (0.0); rows of one id follow each other by the hash of their
+text, then by the text; null ids come last (the smallest long counts as null);
+the next of a single document is itself; columns besides id and text are not read.
 """
 
 from __future__ import annotations
@@ -77,55 +79,74 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
 
 
-#: Neighbours: rows in a bucket, and boundaries of the coarse buckets.
-BUCKET_ROWS, COARSE = 1_500, 100
+#: Neighbours: rows in a bucket, and most buckets of each of the two levels.
+BUCKET_ROWS, COARSE, FINE = 1_500, 1_000, 1_000
+#: Stands for a null doc_id, which comes last.
+NO_ID = -(1 << 63)
+_LAST = (1 << 63) - 1
 
 
-def _buckets(docs: DataFrame, rows: int) -> tuple[Column, Column]:
-    """Coarse bucket (quantiles of doc_id) and bucket within it (equal widths),
-    both growing with doc_id; null ids form bucket (-1, 0)."""
-    doc = F.col("doc_id")
-    coarse = max(1, min(COARSE, rows // BUCKET_ROWS))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / coarse for k in range(coarse + 1)], 10_000)).first()[0] if rows else None
-    cuts = sorted(set(cuts or [0, 0]))
-    inner = cuts[1:-1]
-    q = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in inner]), lambda c: c <= doc)) if inner else F.lit(0)
-    fine = max(1, rows // (coarse * BUCKET_ROWS))
-    starts = F.array(*[F.lit(c).cast("double") for c in cuts])
-    lo, hi = F.get(starts, q), F.get(starts, q + 1)
-    width = F.greatest((hi - lo) / fine, F.lit(1.0))
-    s = F.greatest(F.lit(0), F.least(F.lit(fine - 1), F.floor((doc - lo) / width).cast("int"))) if fine > 1 else F.lit(0)
-    return F.coalesce(F.when(doc.isNotNull(), q), F.lit(-1)), F.coalesce(F.when(doc.isNotNull(), s), F.lit(0))
+def _bounds(values: list[int]) -> list[int]:
+    """Sorted cuts at quantiles; a value that fills several is cut out alone."""
+    repeated = {a for a, b in zip(values, values[1:]) if a == b}
+    return sorted({*values, *(v + 1 for v in repeated if v < _LAST)})
 
 
-def with_next(docs: DataFrame, prepare, carried: list[str]) -> DataFrame:
-    """prepare(docs) with next_<c> of the columns `carried`: each column of the next document in
-    descending doc_id (text among equal ids), and after the last of the first.
+def _at(cuts: Column, value: Column) -> Column:
+    return F.size(F.filter(cuts, lambda c: c <= value))
+
 
-    Rows are dealt to buckets of neighbouring ids and sorted there.  The first
-    row of each bucket also goes, as a ghost, to the end of the bucket before
-    it; so one shuffle finds every neighbour."""
+def with_bucket(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with their order o, hash and bucket q, s, h, which grows
+    with (o, hash): o grows as doc_id falls.  q and s are quantiles of o at two
+    levels, h a range of hashes of texts where one id fills more than a bucket, so
+    buckets are of like size however ids are spread, repeated or null."""
+    docs = docs.select("doc_id", "text", F.bitwise_not(F.coalesce("doc_id", F.lit(NO_ID))).alias("o"), F.xxhash64("text").alias("hash"))
     rows = docs.count()
-    q, s = _buckets(docs, rows)
-    ids = docs.select("doc_id", q.alias("q"), s.alias("s"))
-    firsts = ids.groupBy("q", "s").agg(F.max("doc_id").alias("first"))
-    by_s = Window.partitionBy("q").orderBy(F.desc("s"))
-    tops = firsts.groupBy("q").agg(F.max_by("first", "s").alias("top"))  # at most COARSE + 1 rows
-    by_q = Window.orderBy(F.desc("q"))
-    after = tops.select(F.col("q").alias("of"), F.lead("top").over(by_q).alias("lower"), F.lead(F.lit(1)).over(by_q).alias("has_lower"), F.first("top").over(by_q).alias("highest"))
+    coarse = max(1, min(COARSE, int((rows / BUCKET_ROWS) ** 0.5)))
+    fine = max(1, min(FINE, -(-rows // (coarse * BUCKET_ROWS))))
+    share = lambda n: [k / n for k in range(1, n)]
+    outer = _bounds(docs.agg(F.percentile_approx("o", share(coarse), 100_000)).first()[0] or []) if coarse > 1 else []
+    q = _at(F.array(*map(F.lit, outer)).cast("array<bigint>"), F.col("o")) if outer else F.lit(0)
+    docs = docs.withColumn("q", q)
+    # COARSE * FINE numbers at most.
+    inner = docs.groupBy("q").agg(F.count("*").alias("n"), (F.percentile_approx("o", share(fine), 100_000) if fine > 1 else F.array().cast("array<bigint>")).alias("at")).collect()
+    table = []
+    for r in inner:
+        at = list(r["at"] or [])
+        cuts = _bounds(at)
+        alone = [max(1, round(at.count(c) / fine * r["n"] / BUCKET_ROWS)) if c + 1 in cuts or c == _LAST else 1 for c in cuts]
+        table.append((r["q"], cuts, [1, *alone]))
+    cuts = docs.sparkSession.createDataFrame(table, "__q int, cuts array<bigint>, parts array<int>")
+    docs = docs.join(F.broadcast(cuts), F.col("q") == F.col("__q")).withColumn("s", _at(F.col("cuts"), F.col("o")))
+    place = (F.col("hash") / F.lit(2.0**64) + 0.5) * F.get("parts", F.col("s"))
+    return docs.withColumn("h", F.least(F.floor(place), F.get("parts", F.col("s")) - 1).cast("int")).drop("__q", "cuts", "parts")
+
+
+def with_next(docs: DataFrame, prepare, carried: list[str]) -> DataFrame:
+    """prepare(docs) with next_<c> of the columns `carried`: each column of the next
+    document in descending doc_id (hash of the text, then text among equal ids;
+    null ids last), and after the last of the first.
+
+    Rows are dealt to buckets of neighbours and sorted there.  The first row of
+    each bucket also goes, as a ghost, to the end of the bucket before it; so one
+    shuffle finds every neighbour."""
+    bucket = ["q", "s", "h"]
+    docs = with_bucket(docs)
+    firsts = docs.groupBy(*bucket).agg(F.min(F.struct("o", "hash")).alias("first"))
+    by_s = Window.partitionBy("q").orderBy("s", "h")
+    tops = firsts.groupBy("q").agg(F.min("first").alias("top"))  # as many rows as coarse buckets
+    by_q = Window.orderBy("q")
+    after = tops.select(F.col("q").alias("of"), F.lead("top").over(by_q).alias("following"), F.first("top").over(by_q).alias("start"))
     links = (
-        firsts.withColumn("sibling", F.lead("first").over(by_s)).withColumn("has_sibling", F.lead(F.lit(1)).over(by_s))
-        .join(F.broadcast(after), F.col("q") == F.col("of"))
-        .select(
-            F.col("q").alias("gq"), F.col("s").alias("gs"),
-            F.when(F.col("has_sibling") == 1, F.col("sibling")).when(F.col("has_lower") == 1, F.col("lower")).otherwise(F.col("highest")).alias("ghost"),
-        )
+        firsts.withColumn("sibling", F.lead("first").over(by_s)).join(F.broadcast(after), F.col("q") == F.col("of"))
+        .select(*[F.col(c).alias(f"g{c}") for c in bucket], F.coalesce("sibling", "following", "start").alias("ghost"))
+        .select("gq", "gs", "gh", F.col("ghost.o").alias("go"), F.col("ghost.hash").alias("ghash"))
     )
-    if rows // BUCKET_ROWS <= 1_000_000:  # as many links as buckets, about; else Spark shuffles them
-        links = F.broadcast(links)
-    own = docs.select("doc_id", "text", q.alias("q"), s.alias("s"), F.lit(0).alias("ghost_row"))
-    ghosts = docs.join(links, docs["doc_id"].eqNullSafe(F.col("ghost"))).select(docs["doc_id"], "text", F.col("gq").alias("q"), F.col("gs").alias("s"), F.lit(1).alias("ghost_row"))
-    order = Window.partitionBy("q", "s").orderBy("ghost_row", F.desc("doc_id"), "text")
+    links = F.broadcast(links)  # COARSE * FINE rows, and one for each BUCKET_ROWS rows of one id
+    own = docs.select("doc_id", "text", "o", "hash", *bucket, F.lit(0).alias("ghost_row"))
+    ghosts = docs.join(links, (F.col("o") == F.col("go")) & (F.col("hash") == F.col("ghash"))).select("doc_id", "text", "o", "hash", *[F.col(f"g{c}").alias(c) for c in bucket], F.lit(1).alias("ghost_row")).distinct()
+    order = Window.partitionBy(*bucket).orderBy("ghost_row", "o", "hash", "text")
     out = prepare(own.unionAll(ghosts))
     return out.select("doc_id", "ghost_row", *carried, *[F.lead(c).over(order).alias(f"next_{c}") for c in carried]).where("ghost_row = 0").drop("ghost_row")
 

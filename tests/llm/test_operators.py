@@ -342,13 +342,63 @@ def test_winnowing(spark, corpus, docs):
             assert got[i].fingerprint == got[i].edited_fingerprint and got[i].near_edited == 1
 
 
+def winnow_chosen(grams, value):
+    """Places that winnowing keeps, by its definition."""
+    n, w = len(grams), winnow.WINDOW
+    if n < winnow.SHORT:
+        return [p for p in range(n)]
+    kept = set()
+    for s in range(n - w + 1):
+        least = min(value[grams[p]] for p in range(s, s + w))
+        kept.add(max(p for p in range(s, s + w) if value[grams[p]] == least))
+    return sorted(kept)
+
+
+def test_winnowing_by_brute_force(spark):
+    """Minimum, rightmost of ties (few words make many equal k-grams), likeness."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice("ab" if k % 2 else "abcd") for _ in range(rng.randint(0, 120))) for k in range(120)] + ["a " * 90, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = winnow.with_fingerprint(df, "text", "fp").select("doc_id", "fp", winnow.positions(F.col("fp")).alias("pos")).collect()
+    value, every = {}, {}
+    whole = winnow.with_fingerprint(spark.createDataFrame([(k, " ".join(g)) for k, g in enumerate({g for t in texts for g in winnow_brute(t)[1]})], "k long, text string"), "text", "fp")
+    for r in whole.collect():
+        value[tuple(r.text.split(" "))] = r.fp[0] >> winnow.POSITION_BITS
+    for r in got:
+        grams = winnow_brute(texts[r.doc_id])[1]
+        assert sorted(r.pos) == winnow_chosen(grams, value)
+        every[r.doc_id] = {value[grams[p]] for p in r.pos}
+    ordered = sorted(range(len(texts)), reverse=True)
+    for r in winnow.compare(df).collect():
+        a, b = every[r.doc_id], every[ordered[(ordered.index(r.doc_id) + 1) % len(ordered)]]
+        assert r.near_next == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+
+
 def test_neighbours_across_buckets(spark, monkeypatch):
-    monkeypatch.setattr(winnow, "BUCKET_ROWS", 3)
-    monkeypatch.setattr(winnow, "COARSE", 4)
-    ids = sorted(random.Random(4).sample(range(10_000), 60))
-    df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
-    got = {r.doc_id: r.next_text for r in winnow.with_next(df, lambda x: x, ["text"]).collect()}
-    assert got == {i: f"text {ids[k - 1]}" for k, i in enumerate(ids)}
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(winnow, "BUCKET_ROWS", 4)
+    rng = random.Random(4)
+    spread = rng.sample(range(10_000), 60)
+    clustered = [k if k < 80 else 10**12 + k * 10**9 for k in range(100)]
+    hot = [5] * 70 + [None] * 50 + spread[:30] + [-(1 << 62), (1 << 63) - 1]
+    for ids in (spread, clustered, hot, [7], [None], [3, 3, None, None]):
+        df = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+        placed = winnow.with_bucket(df)
+        rows = sorted(placed.select("o", "hash", "text", "doc_id", "q", "s", "h").collect())
+        assert [tuple(r)[4:] for r in rows] == sorted(tuple(r)[4:] for r in rows)  # buckets grow with the order
+        if len(ids) > 50:
+            assert max(collections.Counter(tuple(r)[4:] for r in rows).values()) <= 6 * winnow.BUCKET_ROWS
+        got = {r.text: r.next_text for r in winnow.with_next(df, lambda x: x, ["text"]).collect()}
+        order = [r.text for r in rows]
+        assert got == {t: order[(k + 1) % len(order)] for k, t in enumerate(order)}
+        assert [r.doc_id for r in rows] == sorted(ids, key=lambda i: (i is None, -(i or 0)))
+    same = spark.createDataFrame([(1, "x")] * 20 + [(None, "y")] * 20, "doc_id long, text string")
+    got = collections.Counter((r.text, r.next_text) for r in winnow.with_next(same, lambda x: x, ["text"]).collect())
+    assert got == {("x", "x"): 19, ("x", "y"): 1, ("y", "y"): 19, ("y", "x"): 1}
+    assert winnow.compare(same.limit(0)).count() == 0
 
 
 def test_language_id(spark, empty):
