@@ -11,10 +11,14 @@ weights to the widest.  Back-propagation touches only the winning position of
 each filter.
 
 Training takes at most MAX_TRAIN labelled documents in a fixed hash order of
-ids and WINDOWS_PER_DOC windows of each, evenly spread.
+ids, and of all windows of their whole texts at most MAX_WINDOWS: turn by turn one
+of each document, in a fixed hash order.
 
 Defined cases: null text or text without a letter is `und` with score 0; when
-nothing can be learned every text is `und`.
+nothing can be learned every text is `und`; a null id is never learned from nor
+held out; rows that repeat count once in training and get equal predictions; of
+equal probabilities the language first in the alphabet is taken; columns besides
+id, text and lang are not read.
 """
 
 from __future__ import annotations
@@ -25,13 +29,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
-MAX_TRAIN, WINDOWS_PER_DOC, EPOCHS, RATE = 4_000, 3, 4, 0.01
+MAX_TRAIN, MAX_WINDOWS, EPOCHS, RATE = 4_000, 12_000, 4, 0.01
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -169,24 +173,27 @@ def train(windows: np.ndarray, y: np.ndarray, langs: list[str], seed: int = 7) -
     return net
 
 
-def fit(docs: DataFrame, max_rows: int = MAX_TRAIN) -> Net:
+def fit(docs: DataFrame, max_rows: int = MAX_TRAIN, max_windows: int = MAX_WINDOWS) -> Net:
     """Learn lang from documents outside the held-out fold."""
     common.ship(docs.sparkSession)
     picked = (
         docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.id_bucket("doc_id", FOLDS) != HELD_OUT))
         .select("doc_id").orderBy(common.hash_order("doc_id"), "doc_id").limit(max_rows).distinct()
     )
-    rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").join(F.broadcast(picked), "doc_id")  # max_rows rows at most
+    rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").join(F.broadcast(picked), "doc_id")  # max_rows ids at most
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for doc, text, lang in zip(pdf["doc_id"], pdf["text"], pdf["lang"]):
                 if LETTER.search(text):
                     w, _ = windows_of(text)
-                    some = w[np.unique(np.linspace(0, len(w) - 1, min(WINDOWS_PER_DOC, len(w))).astype(int))]
-                    yield pd.DataFrame({"doc_id": [doc] * len(some), "lang": [lang] * len(some), "w": [x.tobytes() for x in some]})
+                    yield pd.DataFrame({"doc_id": doc, "k": np.arange(len(w)), "lang": lang, "w": [x.tobytes() for x in w]})
 
-    got = rows.mapInPandas(cut, "doc_id long, lang string, w binary").toPandas().sort_values(["doc_id", "lang", "w"])
+    some = rows.mapInPandas(cut, "doc_id long, k long, lang string, w binary").distinct()
+    some = some.withColumn("h", F.xxhash64(F.lit("window"), "doc_id", "k", "w"))
+    # Turn by turn a window of every document, so that long ones do not outweigh others.
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("h", "lang"))
+    got = some.withColumn("turn", turn).where(F.col("turn") <= max_windows).orderBy("turn", "h", "lang").limit(max_windows).toPandas()
     langs = sorted(set(got["lang"]))
     windows = np.stack([np.frombuffer(w, np.uint8) for w in got["w"]]) if len(got) else np.zeros((0, WINDOW), np.uint8)
     return train(windows, np.array([langs.index(x) for x in got["lang"]], np.int64), langs)

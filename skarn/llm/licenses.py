@@ -14,8 +14,9 @@ which each known text holds one, cannot match and are not canonicalised; only
 documents with a match are shuffled, by doc_id.  The known digests are a fixed list and are broadcast.
 
 Defined cases: null or empty texts, and texts that are empty once canonical,
-match nothing; rows with the same doc_id are scanned apart and counted
-together, once for each row's text.
+match nothing; rows with the same doc_id (null ids too) are scanned apart and
+counted together, once for each row's text; of several entire licences of one id
+the last in the alphabet is named; columns besides id and text are not read.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ SPELLINGS = (
     ("sub-license", "sublicense"), ("sub license", "sublicense"), ("copyright owner", "copyright holder"),
     ("https://", "http://"), ("merchantibility", "merchantability"),
 )
-#: Lines that state a copyright, after lower-casing.
-COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Lines that state a copyright, after lower-casing: with a sign, a year or a place
+#: for one.  Licence texts have other lines that begin with the word, where wrapped.
+COPYRIGHT = r"(^|\n)[^a-z0-9\n©(]*(copyright[^\n]*(\(c\)|©|[12][0-9]{3}|\[yyyy\]|<year>)|copyright by |\(c\)[^\n]*[12][0-9]{3}|©|all rights reserved)[^\n]*"
 #: What separates paragraphs, after lower-casing.
 BLANK = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”„‘’‚«»‹›–—―…·•©®™\x{A0}]+"

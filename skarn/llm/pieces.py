@@ -151,6 +151,14 @@ def _span_hash(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.n
     return x ^ (x >> np.uint64(32))
 
 
+def _span_draw(key: int, start: int, middle: int, end: int) -> int:
+    """_span_hash of one candidate, in plain integers."""
+    full = (1 << 64) - 1
+    x = (key ^ (((start << 42) | (middle << 21) | end) & full) * int(_M1) & full) * int(_M2) & full
+    x = (x ^ (x >> 29)) * int(_M1) & full
+    return x ^ (x >> 32)
+
+
 class Encoder:
     """Encodes every occurrence of a unit by its own draws."""
 
@@ -179,18 +187,15 @@ class Encoder:
         prev, nxt = list(range(-1, n - 1)), [*range(1, n), -1]
         end = list(range(1, n + 1))
         heap: list[tuple[int, int, int, int, int]] = []
-        k64 = np.array([key], np.uint64)
+        limit, size, pairs = int(self.limit), m.size, m.pairs
 
         def offer(i: int) -> None:
             j = nxt[i]
-            if j < 0 or sym[i] >= m.size or sym[j] >= m.size:
-                return
-            value = m.pairs.get(sym[i] * m.size + sym[j])
-            if value is None:
+            if j < 0 or sym[i] >= size or sym[j] >= size:
                 return
-            h = _span_hash(k64, np.array([i]), np.array([j]), np.array([end[j]]))[0]
-            if h >= self.limit:
-                rank, made = divmod(value, m.size)
+            value = pairs.get(sym[i] * size + sym[j])
+            if value is not None and _span_draw(key, i, j, end[j]) >= limit:
+                rank, made = divmod(value, size)
                 heapq.heappush(heap, (rank, i, j, end[j], made))
 
         for i in range(n):

@@ -7,7 +7,10 @@ and flattened into arrays (feature, threshold, leaf value), so that scoring is
 
 Defined cases: null text counts as empty; an empty text gets the score its
 statistics (all zero) lead to; without usable labels every score is the share
-of label 1, or 0.5.
+of label 1, or 0.5; a null id is never learned from nor held out; an id with
+several labels counts as label 1 if one of them is, an id with several texts has
+the smallest statistics; of equal gains the first feature and cut are taken; equal
+texts have equal scores; columns besides id, text and quality are not read.
 """
 
 from __future__ import annotations
@@ -138,14 +141,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Trees:
         .groupBy("doc_id").agg(F.max("quality").alias("quality"))
         .orderBy(common.hash_order("doc_id"), "doc_id").limit(max_rows)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # max_rows rows at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # max_rows ids at most
 
     def stats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["quality"].astype("int32"), "x": list(features(pdf["text"]))})
 
-    got = rows.mapInPandas(stats, "doc_id long, y int, x array<double>").toPandas()
-    got = got.assign(k=got["x"].map(tuple)).sort_values(["doc_id", "k"])
+    # One row an id, combined where the rows are: max_rows rows at most.
+    got = rows.mapInPandas(stats, "doc_id long, y int, x array<double>").groupBy("doc_id", "y").agg(F.min("x").alias("x")).toPandas().sort_values("doc_id")
     x = np.stack(got["x"].to_list()) if len(got) else np.zeros((0, N_FEATURES))
     return train(x, got["y"].to_numpy(np.float64))
 

@@ -677,3 +677,194 @@ def test_pages_with_optional_end_tags():
 def test_long_class_lists_count_whole():
     page = '<div class="flex flex-col gap-4 px-6 py-8 bg-white shadow-md rounded-lg mt-10 border-t cookie-banner"><p>Some words.</p></div>'
     assert {"c:cookie", "c:banner", "c:flex", "c:border"} <= html_text.blocks_of(page)[0].around
+
+
+def test_viterbi_and_likelihood_by_brute_force():
+    import itertools
+
+    def score(field, blocks, labels):
+        total, before = field.start[labels[0]], None
+        for k, (b, y) in enumerate(zip(blocks, labels)):
+            total += sum(field.weights[field.index[f], y] for f in html_text.features(b, before) if f in field.index)
+            total += field.trans[labels[k - 1], y] if k else 0
+            before = b
+        return total
+
+    pages = [(html_text.blocks_of(p), labels) for p, labels in html_text.labelled_pages(60, seed=5)]
+    short = [(b, [labels[x.text] for x in b]) for b, labels in pages if 1 <= len(b) <= 9]
+    field = html_text.train(short, rounds=1500, rate=0.03)
+    rng = np.random.default_rng(2)
+    noisy = html_text.Field(field.index, rng.normal(0, 1, field.weights.shape), rng.normal(0, 1, (2, 2)), rng.normal(0, 1, 2))
+    for f in (field, noisy):
+        for blocks, _ in short:
+            best = max(itertools.product((0, 1), repeat=len(blocks)), key=lambda y: score(f, blocks, y))  # noqa: B023
+            assert f.decode(blocks) == list(best)
+    assert field.decode([]) == []
+
+    def loss(f):
+        out = 0.01 * ((f.weights**2).sum() + (f.trans**2).sum()) / len(short)
+        for blocks, labels in short:
+            every = [score(f, blocks, y) for y in itertools.product((0, 1), repeat=len(blocks))]
+            out += (np.logaddexp.reduce(every) - score(f, blocks, labels)) / len(short)
+        return out
+
+    least = loss(field)
+    for _ in range(6):  # no step from the maximum of the likelihood makes it larger
+        step = [rng.normal(0, 0.05, p.shape) for p in (field.weights, field.trans, field.start)]
+        assert loss(html_text.Field(field.index, field.weights + step[0], field.trans + step[1], field.start + step[2])) > least
+
+
+def test_layouts_without_telling_names():
+    field = html_text.default_field()
+    right = total = 0
+    for page, labels in html_text.labelled_pages(80, seed=91, unnamed=1.0):
+        blocks = html_text.blocks_of(page)
+        right += sum(labels[b.text] == y for b, y in zip(blocks, field.decode(blocks)))
+        total += len(blocks)
+    assert right / total > 0.85
+
+
+def test_visible_text_stays_and_the_scanner_is_linear():
+    import time
+
+    field = html_text.default_field()
+    assert html_text.main_text("Just plain text with no markup.", field) == "Just plain text with no markup."
+    page = "<article><p>The formula <math><mi>E</mi>=<mi>m</mi></math> holds <svg><text>here</text></svg> in <object>all</object> cases <canvas>we saw</canvas>.</p></article>"
+    assert html_text.main_text(page, field) == "The formula E=m holds here in all cases we saw."
+    began = time.perf_counter()
+    assert html_text.blocks_of("<a" * 300_000)[0].text == "<a" * 300_000
+    html_text.blocks_of("<a" * 300_000 + ">")
+    html_text.blocks_of("<p>words</p>" * 30_000 + "<div" * 30_000)
+    assert time.perf_counter() - began < 10
+
+
+def test_extract_odd_tables(spark):
+    page = "<article><p>" + "Some words, said at length and with a point. " * 20_000 + "</p></article>"
+    rows = [(1, "u", page, "t", 3), (1, "u", page, "t", 3), (None, None, None, None, None), (2, "", "", "", 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = sorted((r.page_id or 0, r.n_chars, len(r.text)) for r in html_text.extract(df).collect())
+    assert got == [(0, 0, 0), (1, 899_999, 899_999), (1, 899_999, 899_999), (2, 0, 0)]
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_convolution_by_brute_force():
+    rng = np.random.default_rng(8)
+    texts = ["some words " * 60, "é", "x" * 256, "ab", "the quick brown fox"]
+    langs = ["de", "en", "fr"]
+    cut = [lang_id.windows_of(t) for t in texts]
+    net = lang_id.train(np.concatenate([w for w, _ in cut]), rng.integers(0, 3, sum(len(w) for w, _ in cut)), langs)
+    conv = net.conv.reshape(lang_id.WIDEST, lang_id.EMBED, len(lang_id.WIDTHS), lang_id.FILTERS)
+    for text, (windows, weight) in zip(texts, cut):
+        assert b"".join(w.tobytes() for w in windows)[: len(text.encode())] == text.encode() and weight.sum() == len(text.encode())
+        total = np.zeros(3)
+        for window, own in zip(windows, weight):
+            hidden = []
+            for k, width in enumerate(lang_id.WIDTHS):
+                for f in range(lang_id.FILTERS):
+                    sums = [sum(net.embed[window[p + j]] @ conv[j, :, k, f] for j in range(width)) for p in range(lang_id.WINDOW - lang_id.WIDEST + 1)]
+                    hidden.append(max(0.0, max(sums) + net.bias[k * lang_id.FILTERS + f]))
+            z = np.array(hidden) @ net.dense + net.out
+            total += own * (z - np.logaddexp.reduce(z))
+        p = np.exp(total / weight.sum())
+        p /= p.sum()
+        (lang,), (score,) = net.predict([text])
+        assert lang == langs[int(p.argmax())] and score == pytest.approx(p.max(), abs=1e-3)
+
+
+def test_language_id_repeated_ids_and_long_texts(spark):
+    rows = [(3, "the thing " * 30_000, "en"), (3, "the thing " * 30_000, "en"), (None, "der nicht " * 50, "de"), (6, "der nicht schön " * 50, "de")] * 3
+    df = spark.createDataFrame([(*r, "x", 0.5) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    net = lang_id.fit(df, max_windows=50)
+    got = lang_id.predict(df, net).collect()
+    assert len(got) == 12 and got[0].asDict().keys() == {"doc_id", "held_out", "lang_pred", "score"}
+    assert net.langs == sorted({lang for i, _, lang in rows if i is not None and zlib.crc32(str(i).encode()) % 3 != 1})
+    assert not any(r.held_out for r in got if r.doc_id is None)
+
+
+def test_trees_by_brute_force():
+    """The first split is the best of all, and the flat arrays score as walks down
+    the trees do."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (80, 3)).astype(float)
+    y = ((x[:, 1] > 6) ^ (rng.random(80) < 0.1)).astype(float)
+    model = quality.train(x, y, trees=8, depth=3)
+    p = y.mean()
+    g, h = p - y, np.full(80, p * (1 - p))
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1.0)
+    best = max((gain(x[:, j] <= c) + gain(x[:, j] > c), j, c) for j in range(3) for c in set(x[:, j]) if min(h[x[:, j] <= c].sum(), h[x[:, j] > c].sum()) >= 2.0)
+    j, c = model.feature[0][0], model.threshold[0][0]
+    assert gain(x[:, j] <= c) + gain(x[:, j] > c) == pytest.approx(best[0])
+    for row, score in zip(x, model.score(x)):
+        total = model.base
+        for feature, threshold, leaf in zip(model.feature, model.threshold, model.leaf):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (1 if row[feature[node]] <= threshold[node] else 2)
+            total += leaf[node - len(feature)]
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_quality_odd_tables(spark):
+    rows = [(7, "good words here " * 9), (7, "good words here " * 9), (None, "x"), (8, "%%% " * 200_000), (9, None)] * 2
+    df = spark.createDataFrame([(*r, 1, 0.1, "c") for r in rows], "doc_id long, text string, quality int, score double, y string")
+    lab = spark.createDataFrame([(7, 1, "a"), (7, 0, "b"), (8, 0, "c"), (8, 0, "c"), (None, 1, "d")], "doc_id long, quality int, text string")
+    got = quality.scores(df, lab).collect()
+    assert len(got) == 10 and all(0 <= r.score <= 1 for r in got)
+    assert len({(r.doc_id, r.score) for r in got}) == 4
+    kept = quality.keep_good(df, lab)
+    assert kept.columns == df.columns
+
+
+def test_pieces_long_and_repeated(spark):
+    text = "x" * 4000 + " " + "wordy " * 20_000
+    df = spark.createDataFrame([(1, text, "p"), (1, text, "p"), (None, "", "q"), (2, None, None)], "doc_id long, text string, pieces string")
+    got = pieces.round_trip(df, SP).collect()
+    assert len(got) == 4 and all(r.lossless for r in got) and len({r.ids_crc32 for r in got if r.doc_id == 1}) == 1
+    assert [r.n_pieces for r in got if r.doc_id != 1] == [0, 0]
+    assert pieces.round_trip(df.limit(0), SP).count() == 0
+
+
+def test_licenses_wrapped_at_any_width(spark):
+    import textwrap
+
+    from skarn.llm import license_texts
+
+    texts = {"MIT": license_texts._MIT, "ISC": license_texts._ISC, "BSD-2-Clause": license_texts._BSD_HEAD + license_texts._BSD_TAIL, "Zlib": license_texts._ZLIB, "Unlicense": license_texts._UNLICENSE}
+    texts |= {"BSD-3-Clause": license_texts._BSD_HEAD + license_texts._BSD_THIRD + license_texts._BSD_TAIL}
+    rows, want = [], {}
+    for name, text in texts.items():
+        for width in range(60, 101):
+            body = "\n\n".join(textwrap.fill(p, width, break_on_hyphens=False) for p in text.split("\n\n"))
+            want[len(rows)] = name
+            rows.append((len(rows), f"Copyright (c) 2024 A. Person\nAll rights reserved.\n\n{body}\n"))
+    got = {r.doc_id: r.whole_license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_license_scan_odd_tables(spark):
+    """Against a plain canonical form written anew."""
+    from skarn.llm.license_texts import KNOWN
+
+    def plain(text):
+        lines = [x for x in text.lower().split("\n") if not re.match(r"\W*(copyright.*(\(c\)|©|[12]\d\d\d|\[yyyy\]|<year>)|copyright by |\(c\).*[12]\d\d\d|all rights reserved)|[^\w(]*©", x)]
+        out = "\n".join(lines)
+        for a, b in licenses.SPELLINGS:
+            out = out.replace(a, b)
+        return "".join(c if c.isalnum() else " " for c in out).split()
+
+    known = {}
+    for name, text in KNOWN:
+        known.setdefault(tuple(plain(text)), name)
+    rng = random.Random(3)
+    short = [t for _, t in KNOWN if len(t) < 400]
+    texts = ["\n".join(rng.choice([rng.choice(short).replace("\n", " "), prose(rng, 6), "", "  Copyright 2001 by X"]) for _ in range(rng.randint(0, 6))) for _ in range(150)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(500, None), (501, ""), (502, "Released under the MIT License. " * 40_000), (None, "Released under the MIT License."), (503, texts[0]), (503, texts[0])]
+    df = spark.createDataFrame([(*r, "x", 9) for r in rows], "doc_id long, text string, license_id string, n_notices int")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    for i, t in rows[:150]:
+        lines = [known[tuple(plain(x))] for x in (t or "").split("\n") if tuple(plain(x)) in known]
+        assert got[i].n_notices >= len(lines) and set(lines) <= set(got[i].licenses.split(","))
+        assert got[i].whole_license == known.get(tuple(plain(t)))
+    assert [(got[i].n_notices, got[i].licenses) for i in (500, 501, 502)] == [(0, "")] * 3
+    assert got[None].whole_license == "MIT" and got[503].n_notices == 2 * got[0].n_notices
+    assert licenses.scan(df.limit(0)).count() == 0
