@@ -9,9 +9,9 @@ documents link at a Jaccard similarity of SIMILAR percent or more.
    set a prefix of p + f tokens, p = n - ceil(s n) + 1, of which linking sets
    share f + 1 at least; the smallest sets put all tokens forward.  A filter of
    bits seen twice finds the tokens that can occur in two classes: only they are
-   shuffled.  Its size is bounded (MAX_BITS), as every executor holds it; beyond
-   some 0.8 GB of text it lets more and more tokens through, up to all that are
-   put forward, and counting them exactly is left to step 3.
+   shuffled.  Every executor holds it, so it is used up to MAX_BITS (some 0.8 GB of
+   text); beyond that all tokens put forward are shuffled to be counted, which is
+   what a filter dealt to executors would have to do with them anyway.
 3. Order B (exact document frequency, rare first) ranks the tokens put forward,
    and the f most frequent are left out: of f + 1 common tokens the rarest is
    still there.  Classes that share no such token have no partner and drop out,
@@ -309,13 +309,15 @@ def _joined(docs: DataFrame) -> DataFrame:
     common.ship(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << (size // 3).bit_length()))
-    shared = spark.sparkContext.broadcast(_twice(docs, bits))
+    bits = max(MIN_BITS, 1 << (size // 3).bit_length())
+    shared = spark.sparkContext.broadcast(_twice(docs, bits) if bits <= MAX_BITS else None)
 
     def profile_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filt = shared.value
 
         def suspects(keys: np.ndarray) -> np.ndarray:
+            if filt is None:
+                return _as_long(keys)
             return _as_long(keys[twice.has(filt, (keys & _U(bits - 1)).astype(np.int64))])
 
         for pdf in batches:

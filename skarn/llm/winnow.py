@@ -19,6 +19,8 @@ the next of a single document is itself; columns besides id and text are not rea
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,8 +118,9 @@ def with_bucket(docs: DataFrame) -> DataFrame:
         at = list(r["at"] or [])
         cuts = _bounds(at)
         alone = [max(1, round(at.count(c) / fine * r["n"] / BUCKET_ROWS)) if c + 1 in cuts or c == _LAST else 1 for c in cuts]
-        table.append((r["q"], cuts, [1, *alone]))
-    cuts = docs.sparkSession.createDataFrame(table, "__q int, cuts array<bigint>, parts array<int>")
+        table.append({"__q": r["q"], "cuts": cuts, "parts": [1, *alone]})
+    held = F.from_json(F.lit(json.dumps(table)), "array<struct<__q int, cuts array<bigint>, parts array<int>>>")
+    cuts = docs.sparkSession.range(1).select(F.inline(held))
     docs = docs.join(F.broadcast(cuts), F.col("q") == F.col("__q")).withColumn("s", _at(F.col("cuts"), F.col("o")))
     place = (F.col("hash") / F.lit(2.0**64) + 0.5) * F.get("parts", F.col("s"))
     return docs.withColumn("h", F.least(F.floor(place), F.get("parts", F.col("s")) - 1).cast("int")).drop("__q", "cuts", "parts")

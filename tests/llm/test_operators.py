@@ -505,6 +505,11 @@ def test_jaccard_join_repeated_rows_and_ids(spark):
     assert rows_of(jaccard_join.join(df)) == brute_components(docs)
 
 
+def test_jaccard_join_without_a_filter(spark, corpus, docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MAX_BITS", 0)
+    assert rows_of(jaccard_join.join(corpus)) == brute_components(docs)
+
+
 def test_keep_one_decides_by_row(spark):
     rng = random.Random(33)
     w, o, x = (prose(rng, 40) for _ in range(3))
