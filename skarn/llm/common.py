@@ -49,7 +49,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._skarn_path = path
+    free_shuffles(spark)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables; all that was read from them must be written."""
+    for df in tables:
+        p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._skarn_path)
+        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of a finished query when the driver's garbage
+    collector finds that nothing refers to it; with a large heap that is too late
+    for the executors' disks."""
+    spark.sparkContext._jvm.System.gc()
 
 
 _shipped: set[str] = set()

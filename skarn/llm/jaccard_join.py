@@ -9,9 +9,9 @@ documents link at a Jaccard similarity of SIMILAR percent or more.
    set a prefix of p + f tokens, p = n - ceil(s n) + 1, of which linking sets
    share f + 1 at least; the smallest sets put all tokens forward.  A filter of
    bits seen twice finds the tokens that can occur in two classes: only they are
-   shuffled.  Every executor holds it, so it is used up to MAX_BITS (some 0.8 GB of
-   text); beyond that all tokens put forward are shuffled to be counted, which is
-   what a filter dealt to executors would have to do with them anyway.
+   shuffled.  Every executor holds it, so it has MAX_BITS at most, and lets more
+   tokens through beyond 1.6 GB of text; beyond FULL times that it would hold back
+   too few, and all tokens put forward are shuffled to be counted.
 3. Order B (exact document frequency, rare first) ranks the tokens put forward,
    and the f most frequent are left out: of f + 1 common tokens the rarest is
    still there.  Classes that share no such token have no partner and drop out,
@@ -60,7 +60,7 @@ SMALL, STEP, SPARE = 86, 4, 24
 PARITY = 4
 #: Rounds in which each token's group is compared with one hub, before the rest.
 STARS = 1
-MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
+MIN_BITS, MAX_BITS, FULL = 1 << 20, 1 << 29, 4
 NO_ID = (1 << 63) - 1
 #: Texts hashed together; bounds the working arrays of a worker.
 BATCH_BYTES = 1 << 18
@@ -232,8 +232,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         linked = down.join(low, "u")
+        last = e
         small = linked.select(F.col("m").alias("a"), F.col("v").alias("b")).unionAll(low.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct()
         e = common.materialise(small, name)
+        common.discard(last)
         now = mark(e)
         if now == before:
             break
@@ -309,8 +311,9 @@ def _joined(docs: DataFrame) -> DataFrame:
     common.ship(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(MIN_BITS, 1 << (size // 3).bit_length())
-    shared = spark.sparkContext.broadcast(_twice(docs, bits) if bits <= MAX_BITS else None)
+    wanted = max(MIN_BITS, 1 << (size // 3).bit_length())
+    bits = min(MAX_BITS, wanted)
+    shared = spark.sparkContext.broadcast(_twice(docs, bits) if wanted <= FULL * MAX_BITS else None)
 
     def profile_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filt = shared.value
@@ -335,13 +338,19 @@ def _joined(docs: DataFrame) -> DataFrame:
     profile = common.materialise(docs.mapInPandas(profile_of, "doc_id long, text_hash long, n long, sig binary, rep long, range int, own array<long>, up array<long>"), "profile")
     reps = profile.where("n > 0").groupBy("sig").agg(F.first("rep").alias("rep"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("range").alias("range"), F.first("own").alias("own"), F.first("up").alias("up"))
     reps = common.materialise(reps, "reps")
+    whole, profile = profile, common.materialise(profile.select("doc_id", "text_hash", "n", "sig"), "rows")
+    common.discard(whole)
 
     # Classes that can have a partner at all.
     index = reps.select("rep", "n", "range", F.explode("own").alias("key")).unionAll(reps.select("rep", "n", (F.col("range") + 1).alias("range"), F.explode("up").alias("key")))
-    live = _rare_first(common.materialise(index, "index"), ["rep", "range"], *put_forward(F.col("n"), F.col("range"))).select("key", "rep")
+    index = common.materialise(index, "index")
+    whole, reps = reps, common.materialise(reps.select("sig", "rep", "first"), "classes")
+    common.discard(whole)
+    live = _rare_first(index, ["rep", "range"], *put_forward(F.col("n"), F.col("range"))).select("key", "rep")
     shared_keys = live.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     live = live.join(shared_keys, "key", "left_semi").select("rep").distinct()
     live = common.materialise(reps.select("rep", "first").join(live, "rep", "left_semi"), "live")
+    common.discard(index)
     nodes, firsts = live.select("rep"), live.select("first")
     if live.count() <= BROADCAST_IDS:
         nodes, firsts = F.broadcast(nodes), F.broadcast(firsts)
@@ -359,7 +368,8 @@ def _joined(docs: DataFrame) -> DataFrame:
     # Rows of one id with other texts are not of a live class; repeated rows are.
     sets = common.materialise(sets.join(nodes, "rep", "left_semi"), "sets")
     if sets.count() > live.count():
-        sets = common.materialise(sets.dropDuplicates(["rep"]), "sets")
+        whole, sets = sets, common.materialise(sets.dropDuplicates(["rep"]), "sets")
+        common.discard(whole)
 
     # Order B on the whole sets of those: the classical prefix.
     index = sets.select("rep", "n", F.explode("tokens").alias("key"))
@@ -392,6 +402,7 @@ def _joined(docs: DataFrame) -> DataFrame:
             continue
         edges = found if edges is None else edges.unionAll(found)
         labels = components(edges, "labels").select(F.col("node").alias("rep"), "comp")
+    common.discard(live, sets, kept)
     # A component's name is its smallest doc_id.
     member = labels.unionAll(labels.select(F.col("comp").alias("rep"), "comp").distinct())
     low = member.join(reps.select("rep", "first"), "rep").groupBy("comp").agg(F.min("first").alias("component"))
