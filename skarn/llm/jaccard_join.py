@@ -8,10 +8,10 @@ documents link at a Jaccard similarity of SIMILAR percent or more.
    sets that can link meet in one range.  In range c order A (a hash) gives each
    set a prefix of p + f tokens, p = n - ceil(s n) + 1, of which linking sets
    share f + 1 at least; the smallest sets put all tokens forward.  A filter of
-   bits seen twice finds the tokens that can occur in two classes: only they are
-   shuffled.  Every executor holds it, so it has MAX_BITS at most, and lets more
-   tokens through beyond 1.6 GB of text; beyond FULL times that it would hold back
-   too few, and all tokens put forward are shuffled to be counted.
+   bits seen twice, of some five bits or more for each token put forward, finds the
+   tokens that can occur in two classes: only they are indexed.  Up to HELD_BITS
+   (some 1.6 GB of text) every executor holds it; beyond that the tokens put forward
+   are dealt to its shards, once for all texts of one set that a task reads.
 3. Order B (exact document frequency, rare first) ranks the tokens put forward,
    and the f most frequent are left out: of f + 1 common tokens the rarest is
    still there.  Classes that share no such token have no partner and drop out,
@@ -60,7 +60,7 @@ SMALL, STEP, SPARE = 86, 4, 24
 PARITY = 4
 #: Rounds in which each token's group is compared with one hub, before the rest.
 STARS = 1
-MIN_BITS, MAX_BITS, FULL = 1 << 20, 1 << 29, 4
+MIN_BITS, HELD_BITS = 1 << 20, 1 << 29
 NO_ID = (1 << 63) - 1
 #: Texts hashed together; bounds the working arrays of a worker.
 BATCH_BYTES = 1 << 18
@@ -188,6 +188,10 @@ def put_forward(n: Column, c: Column) -> tuple[Column, Column]:
     return F.when(c == 0, n).otherwise(put), F.when(c == 0, prefix(n)).otherwise(put - f)
 
 
+def _places(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys & _U(bits - 1)).astype(np.uint32 if bits <= 1 << 32 else np.int64)
+
+
 def _positions(bits: int):
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[np.ndarray] = []
@@ -195,7 +199,7 @@ def _positions(bits: int):
             for tokens in shingles(pdf["text"]):
                 for keys in forward(tokens)[1:]:
                     if len(keys):
-                        found.append((keys & _U(bits - 1)).astype(np.uint32))
+                        found.append(_places(keys, bits))
             if len(found) > 200:
                 found = [np.concatenate(found)]
         if found:
@@ -206,11 +210,6 @@ def _positions(bits: int):
     return build
 
 
-def _twice(docs: DataFrame, bits: int) -> np.ndarray:
-    """Bits of keys put forward twice or more: at most MAX_BITS / 8 bytes."""
-    return twice.collected(docs.select("text").mapInPandas(_positions(bits), twice.SCHEMA), bits)
-
-
 def _as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -304,24 +303,18 @@ def join(docs: DataFrame) -> DataFrame:
     return _joined(docs).select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def _joined(docs: DataFrame) -> DataFrame:
-    """doc_id (NO_ID for null), text_hash, n of each row, the node of its component
-    (null for an empty set) and the component's smallest id."""
-    spark = docs.sparkSession
-    common.ship(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    wanted = max(MIN_BITS, 1 << (size // 3).bit_length())
-    bits = min(MAX_BITS, wanted)
-    shared = spark.sparkContext.broadcast(_twice(docs, bits) if wanted <= FULL * MAX_BITS else None)
+def _index_here(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, n, sig), classes (sig, rep, first) and the index
+    (rep, n, range, key) of keys that may be put forward by two classes, by a filter
+    that every executor holds."""
+    parts = docs.select("text").mapInPandas(_positions(bits), twice.SCHEMA)
+    shared = docs.sparkSession.sparkContext.broadcast(twice.collected(parts, bits))
 
     def profile_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filt = shared.value
 
         def suspects(keys: np.ndarray) -> np.ndarray:
-            if filt is None:
-                return _as_long(keys)
-            return _as_long(keys[twice.has(filt, (keys & _U(bits - 1)).astype(np.int64))])
+            return _as_long(keys[twice.has(filt, _places(keys, bits).astype(np.int64))])
 
         for pdf in batches:
             n, sig, ranges, own, up = [], [], [], [], []
@@ -340,12 +333,72 @@ def _joined(docs: DataFrame) -> DataFrame:
     reps = common.materialise(reps, "reps")
     whole, profile = profile, common.materialise(profile.select("doc_id", "text_hash", "n", "sig"), "rows")
     common.discard(whole)
-
-    # Classes that can have a partner at all.
     index = reps.select("rep", "n", "range", F.explode("own").alias("key")).unionAll(reps.select("rep", "n", (F.col("range") + 1).alias("range"), F.explode("up").alias("key")))
     index = common.materialise(index, "index")
     whole, reps = reps, common.materialise(reps.select("sig", "rep", "first"), "classes")
     common.discard(whole)
+    return profile, reps, index
+
+
+_OWNER = np.dtype([("rep", "<i8"), ("n", "<i4"), ("range", "i1")])
+
+
+def _index_dealt(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same where the filter is too large to be held."""
+
+    def place(keys: np.ndarray) -> np.ndarray:
+        return _places(keys, bits).astype(np.int64)[:, None]
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        met: set[int] = set()
+        for pdf in batches:
+            for tokens in shingles(pdf["text"]):
+                rep = _node(_signature(tokens))
+                if rep in met:
+                    continue
+                met.add(rep)
+                c, *keys = forward(tokens)
+                for up, key in enumerate(keys):
+                    owners = np.empty(len(key), _OWNER)
+                    owners["rep"], owners["n"], owners["range"] = rep, len(tokens), c + up
+                    yield key, owners
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from twice.questions(put(batches), place)
+        common.trim()
+
+    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = list(shingles(pdf["text"]))
+            sig = list(map(_signature, sets))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"], "n": list(map(len, sets)), "sig": sig, "rep": list(map(_node, sig))})
+        common.trim()
+
+    parts = docs.select("text").mapInPandas(_positions(bits), twice.SCHEMA)
+    segments = common.materialise(twice.merged(parts), "segments")
+    found = twice.answered(docs.select("text").mapInPandas(ask, twice.QUESTION), segments, place, _OWNER, "rep long, n int, range byte")
+    found = common.materialise(found, "found")
+    common.discard(segments)
+    # A class may have asked in several tasks.
+    index = found.groupBy("rep", "range", "key").agg(F.first("n").cast("long").alias("n"))
+    index = common.materialise(index.select("rep", "n", F.col("range").cast("int").alias("range"), "key"), "index")
+    common.discard(found)
+    profile = common.materialise(docs.mapInPandas(rows_of, "doc_id long, text_hash long, n long, sig binary, rep long"), "rows")
+    reps = profile.where("n > 0").groupBy("sig").agg(F.first("rep").alias("rep"), F.min("doc_id").alias("first"))
+    return profile, common.materialise(reps, "classes"), index
+
+
+def _joined(docs: DataFrame) -> DataFrame:
+    """doc_id (NO_ID for null), text_hash, n of each row, the node of its component
+    (null for an empty set) and the component's smallest id."""
+    spark = docs.sparkSession
+    common.ship(spark)
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(MIN_BITS, 1 << (size // 3).bit_length())
+    profile, reps, index = (_index_here if bits <= HELD_BITS else _index_dealt)(docs, bits)
+
+    # Classes that can have a partner at all.
     live = _rare_first(index, ["rep", "range"], *put_forward(F.col("n"), F.col("range"))).select("key", "rep")
     shared_keys = live.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     live = live.join(shared_keys, "key", "left_semi").select("rep").distinct()

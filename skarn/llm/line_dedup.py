@@ -10,7 +10,8 @@ keys back by document and rewrites the texts.
 
 The filter has 8 bits or more for every line, at every size, so the share of
 lines suspected by chance stays below 5 %.  Up to HELD_BITS every executor holds
-it; beyond that the hashes of lines (10 bytes each) are dealt to its segments.
+it; beyond that the hashes of lines (16 bytes each, with the document) are dealt
+to its shards, and a shard with a hot line to several tasks.
 
 Defined cases: a null or empty text is one empty line; keys under `min_chars`
 code points always stay; a document that repeats a key counts once for it; rows
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -60,14 +60,21 @@ def keys_of(text: str | None, min_chars: int) -> set[bytes]:
     return keys
 
 
-def probes(keys: list[bytes], bits: int) -> np.ndarray:
-    """Two bit positions for each key, in one segment."""
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
+def _hashes(keys: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
+
+
+def _places(h: np.ndarray, bits: int) -> np.ndarray:
     low = np.uint64(twice.SEGMENT - 1)
     seg = ((h >> np.uint64(32)) & np.uint64(bits // twice.SEGMENT - 1)) * np.uint64(twice.SEGMENT)
     return np.stack([seg | (h & low), seg | ((h >> np.uint64(16)) & low)], axis=1).astype(np.int64)
 
 
+def probes(keys: list[bytes], bits: int) -> np.ndarray:
+    """Two bit positions for each key, in one segment."""
+    return _places(_hashes(keys), bits)
+
+
 def _filters(bits: int, min_chars: int):
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[np.ndarray] = []
@@ -87,7 +94,7 @@ def _filters(bits: int, min_chars: int):
 
 
 def twice_filter(docs: DataFrame, bits: int, min_chars: int) -> DataFrame:
-    """seg, once, twice: the two filters of each task, for keys seen once and twice."""
+    """The two filters of each task, for keys seen once and twice."""
     return docs.select("text").mapInPandas(_filters(bits, min_chars), twice.SCHEMA)
 
 
@@ -116,54 +123,43 @@ def _suspects_here(texts: DataFrame, filt: np.ndarray, bits: int, min_chars: int
     return texts.mapInPandas(suspects, "doc_id long, line binary")
 
 
+_OWNER = np.dtype([("__id", "<i8")])
+
+
 def _suspects_dealt(texts: DataFrame, segments: DataFrame, bits: int, min_chars: int) -> DataFrame:
     """The same where the filter is too large to be held: the keys' hashes, not
-    the keys, are dealt to the segments of the filter, and suspected ones return
-    to their texts by doc_id."""
+    the keys, are dealt to its shards, and suspected ones return to their texts by
+    doc_id."""
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(hashes: np.ndarray) -> np.ndarray:
+        return _places(hashes, bits)
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for pdf in batches:
-            rows, keys = [], []
-            for row, text in enumerate(pdf["text"]):
-                own = keys_of(text, min_chars)
-                keys.extend(own)
-                rows.extend([row] * len(own))
-            if not keys:
-                continue
-            pos = probes(keys, bits)
-            order = np.argsort(pos[:, 0], kind="stable")
-            pos, ids = pos[order], pdf["doc_id"].to_numpy()[np.array(rows)[order]]
-            seg, start = np.unique(pos[:, 0] >> 16, return_index=True)
-            stop = np.append(start[1:], len(pos))
-            low = pos.astype(np.uint16)
-            yield pd.DataFrame({"seg": seg, "ids": [ids[a:b].astype("<i8").tobytes() for a, b in zip(start, stop)], "low": [low[a:b].tobytes() for a, b in zip(start, stop)]})
-
-    def answer(key: tuple[Any, ...], asked: pd.DataFrame, filt: pd.DataFrame) -> pd.DataFrame:
-        held = np.frombuffer(filt["twice"].iloc[0], np.uint8) if len(filt) else np.zeros(twice.BYTES, np.uint8)
-        ids = np.frombuffer(b"".join(asked["ids"]), "<i8")
-        low = np.frombuffer(b"".join(asked["low"]), np.uint16).reshape(-1, 2)
-        yes = twice.has(held, low.astype(np.int64)).all(axis=1)
-        own = int(key[0]) << 32 | low[yes, 0].astype(np.int64) << 16 | low[yes, 1]
-        return pd.DataFrame({"__id": ids[yes], "place": own})
-
-    asked = texts.mapInPandas(ask, "seg long, ids binary, low binary")
-    found = asked.groupBy("seg").cogroup(segments.groupBy("seg")).applyInPandas(answer, "__id long, place long")
-    found = found.groupBy("__id").agg(F.collect_set("place").alias("places"))
+            for doc_id, text in zip(pdf["doc_id"].to_numpy(), pdf["text"]):
+                keys = _hashes(list(keys_of(text, min_chars)))
+                yield keys, np.full(len(keys), doc_id, np.int64).view(_OWNER)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from twice.questions(hashed(batches), place)
+
+    asked = texts.mapInPandas(ask, twice.QUESTION)
+    found = twice.answered(asked, segments, place, _OWNER, "__id long")
+    found = found.groupBy("__id").agg(F.collect_set("key").alias("hashes"))
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows, keys = [], []
-            for row, (text, places) in enumerate(zip(pdf["text"], pdf["places"])):
+            for row, (text, hashes) in enumerate(zip(pdf["text"], pdf["hashes"])):
                 own = list(keys_of(text, min_chars))
                 if own:
-                    pos = probes(own, bits)
-                    at = np.isin((pos[:, 0] >> 16) << 32 | (pos[:, 0] & 0xFFFF) << 16 | pos[:, 1] & 0xFFFF, places)
+                    at = np.isin(_hashes(own).view(np.int64), hashes)
                     own = [k for k, yes in zip(own, at) if yes]
                 keys.extend(own)
                 rows.extend([row] * len(own))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[rows], "line": keys})
 
-    held = texts.join(found, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "places")
+    held = texts.join(found, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "hashes")
     return held.mapInPandas(keep, "doc_id long, line binary")
 
 

@@ -97,8 +97,8 @@ def test_line_filter_has_no_false_negatives(corpus, docs):
 
 
 def test_filter_grows_with_the_lines(spark, monkeypatch):
-    """With the filter dealt to its segments the result is the same, and the
-    share of lines suspected by chance stays small."""
+    """With the lines dealt to shards of the filter, of which hot ones are copied,
+    the result is the same, and the share of lines suspected by chance stays small."""
     rng = random.Random(21)
     shared = [prose(rng, 9) for _ in range(30)]
     docs = [(k if k % 50 else None, "\n".join([*(prose(rng, 8) for _ in range(40)), rng.choice(shared)])) for k in range(900)]
@@ -106,6 +106,7 @@ def test_filter_grows_with_the_lines(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     here = sorted(map(str, line_dedup.dedup_lines(df).collect()))
     monkeypatch.setattr(line_dedup, "HELD_BITS", 0)
+    monkeypatch.setattr(twice, "QUESTIONS", 5000)
     monkeypatch.setattr(line_dedup, "MIN_BITS", 1 << 16)
     assert sorted(map(str, line_dedup.dedup_lines(df).collect())) == here
     texts = df.selectExpr(f"coalesce(doc_id, {line_dedup.NO_ID}) doc_id", "text")
@@ -505,9 +506,21 @@ def test_jaccard_join_repeated_rows_and_ids(spark):
     assert rows_of(jaccard_join.join(df)) == brute_components(docs)
 
 
-def test_jaccard_join_without_a_filter(spark, corpus, docs, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "MAX_BITS", 0)
+@pytest.mark.parametrize("copies", [False, True])
+def test_jaccard_join_with_a_dealt_filter(spark, corpus, docs, monkeypatch, copies):
+    monkeypatch.setattr(jaccard_join, "HELD_BITS", 0)
+    if copies:
+        monkeypatch.setattr(twice, "QUESTIONS", 3000)
     assert rows_of(jaccard_join.join(corpus)) == brute_components(docs)
+    assert jaccard_join.join(corpus.limit(0)).count() == 0
+
+
+def test_dealt_and_held_filters_index_alike(spark, corpus):
+    """The dealt filter lets the same keys through, and few that occur once."""
+    docs = corpus.selectExpr("coalesce(doc_id, 0) doc_id", "xxhash64(text) text_hash", "text")
+    held, dealt = (f(docs, 1 << 20)[2] for f in (jaccard_join._index_here, jaccard_join._index_dealt))
+    rows = [{(r.rep, r.n, r.range, r.key) for r in x.collect()} for x in (held, dealt)]
+    assert rows[0] == rows[1] and rows[0]
 
 
 def test_keep_one_decides_by_row(spark):
