@@ -8,7 +8,7 @@ documents link at a Jaccard similarity of SIMILAR percent or more.
    sets that can link meet in one range.  In range c order A (a hash) gives each
    set a prefix of p + f tokens, p = n - ceil(s n) + 1, of which linking sets
    share f + 1 at least; the smallest sets put all tokens forward.  A filter of
-   bits seen twice, of some five bits or more for each token put forward, finds the
+   bits seen twice, of a third of a bit or more for each byte of text, finds the
    tokens that can occur in two classes: only they are indexed.  Up to HELD_BITS
    (some 1.6 GB of text) every executor holds it; beyond that the tokens put forward
    are dealt to its shards, once for all texts of one set that a task reads.
