@@ -73,9 +73,11 @@ def interval_join(left: DataFrame, right: DataFrame, point: str, low: str, high:
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "inner") -> DataFrame:
     """An equality join in which the left rows of each key are spread over
     `salts` tasks and the right rows repeated for each: for hot keys on the left,
-    where adaptive skew handling is not to be relied on."""
+    where adaptive skew handling is not to be relied on.  Both sides are shuffled
+    and merged: Spark's size of the right side leaves out the repeats, and would
+    have it broadcast `salts` times larger than it thinks."""
     a = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     b = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("a salted join keeps left rows: inner, left, left_semi or left_anti")
-    return a.join(b, [key, "__salt"], how).drop("__salt")
+    return a.join(b.hint("merge"), [key, "__salt"], how).drop("__salt")

@@ -175,3 +175,11 @@ def test_asof_and_interval_joins_by_brute_force(spark):
     spans = spark.createDataFrame([(k, t, t + v % 9 - 1, v) for k, t, v in right], "k string, lo int, hi int, s int")
     got = relational.interval_join(ldf, spans, "t", "lo", "hi", 5.0, ["k"]).select("id", "s").collect()
     assert sorted(map(tuple, got)) == sorted((i, v) for i, k, t in left for k2, lo, v in right if k == k2 and lo <= t <= lo + v % 9 - 1)
+
+
+def test_salted_join_does_not_broadcast_the_repeats(spark):
+    a, b = spark.range(500).selectExpr("id % 40 AS k", "id AS v"), spark.range(40).selectExpr("id AS k")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        plan = relational.salted_join(a, b, "k", 16, how)._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert relational.salted_join(a, b, "k").count() == 500
