@@ -183,3 +183,40 @@ def test_salted_join_does_not_broadcast_the_repeats(spark):
         plan = relational.salted_join(a, b, "k", 16, how)._jdf.queryExecution().sparkPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert relational.salted_join(a, b, "k").count() == 500
+
+
+def test_knn_join_by_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    vectors = [[rng.choice([0.0, 0.1, 0.3, 1e3]) for _ in range(5)] for _ in range(40)]
+    rows = [(k, rng.choice(vectors)) for k in range(300)]
+    rows += [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0]), (302, [float("inf"), 0.0, 0.0, 0.0, 0.0]), (303, [1e200] * 5), (304, [1e200] * 5), (305, [float("nan")] * 5)]
+
+    def distance(a, b):
+        if a is None or b is None or None in a or None in b:
+            return (1, 0.0)
+        s = 0.0
+        for x, y in zip(a, b):
+            s += (x - y) * (x - y)
+        return (0, float("inf")) if s == float("inf") else (0.5, 0.0) if s != s else (0, s**0.5)
+
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    queries = df.where("id % 10 = 0 or id > 295")
+    want = []
+    for k, v in rows:
+        if k % 10 == 0 or k > 295:
+            near = sorted((*distance(v, w), j) for j, w in rows if j != k)[:4]
+            want += [(k, j, rank + 1) for rank, (_, _, j) in enumerate(near)]
+    for pairs, batch in ((20_000_000, "10000"), (2_000, "16")):
+        monkeypatch.setattr(vector, "TASK_PAIRS", pairs)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            found = vector.knn_join(queries, df, "id", "v", 4)
+            got = sorted((r.query_key, r.neighbour_key, r["rank"]) for r in found.collect())
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == sorted(want)
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    few = spark.createDataFrame([(1, [0.0]), (2, None), (3, [2.0])], "id long, v array<double>")
+    assert [(r.neighbour_key, r.distance) for r in vector.knn_join(few.where("id = 1"), few, "id", "v", 5).orderBy("rank").collect()] == [(3, 2.0), (2, None)]
+    with pytest.raises(Exception, match="dimensions"):
+        vector.knn_join(few, spark.createDataFrame([(9, [1.0, 2.0])], "id long, v array<double>"), "id", "v", 1).collect()
