@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a key on one side of a dealt join that are not cut in pieces.
+PIECE_ROWS = 10_000
+#: Copies of a right row that an interval join repeats at once.
+REPEATS = 1024
+
 
 def int_div(a: Column, b: Column) -> Column:
     """Truncating integer division; null for a zero divisor."""
@@ -60,14 +65,40 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, values: li
     return out.select(*cols, *[F.col(f"__match.{v}").alias(v) for v in values])
 
 
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner equality join for few or hot keys, whose pairs outgrow the rows.
+    A key of more than PIECE_ROWS rows on a side is cut there in pieces of about
+    that size, and each piece of one side meets each of the other in its own part
+    of a merge join.  Both sides are shuffled to all shuffle partitions: neither
+    the split of the input nor the size of the rows says how much work they are."""
+    sizes = [df.groupBy(*keys).agg(F.count("*").alias(f"__n{side}")) for df, side in ((left, "l"), (right, "r"))]
+    # At most one row for PIECE_ROWS rows of the sides.
+    hot = sizes[0].join(sizes[1], keys).where(F.greatest("__nl", "__nr") > PIECE_ROWS)
+    hot = F.broadcast(hot.select(*keys, *[F.ceil(F.col(f"__n{side}") / PIECE_ROWS).cast("int").alias(f"__p{side}") for side in "lr"]))
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = []
+    for df, own, other in ((left, "l", "r"), (right, "r", "l")):
+        piece = F.pmod(F.xxhash64(*df.columns), F.coalesce(f"__p{own}", F.lit(1))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(f"__p{other}", F.lit(1)) - 1))
+        df = df.join(hot, keys, "left").withColumn(f"__s{own}", piece).withColumn(f"__s{other}", every).drop("__pl", "__pr")
+        dealt.append(df.repartition(parts, *keys, "__sl", "__sr"))
+    return dealt[0].join(dealt[1].hint("merge"), [*keys, "__sl", "__sr"]).drop("__sl", "__sr")
+
+
 def interval_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float, on: list[str] = ()) -> DataFrame:
     """Pairs of a left row and a right row whose interval [low, high] holds the
     left row's point, and which agree in `on`.  Intervals are dealt to the bins of
-    `width` they touch, a point to its one bin: an equality join."""
+    `width` they touch, a point to its one bin: an equality join.  Equal right
+    rows are joined once and repeated at the end, one after the other, where a
+    file holds them as one run."""
     at = lambda c: F.floor(F.col(c) / width).cast("long")
     a = left.withColumn("__bin", at(point))
-    b = right.where(F.col(low) <= F.col(high)).withColumn("__bin", F.explode(F.sequence(at(low), at(high))))
-    return a.join(b, [*on, "__bin"]).where(F.col(point).between(F.col(low), F.col(high))).drop("__bin")
+    b = right.where(F.col(low) <= F.col(high)).groupBy(*right.columns).agg(F.count("*").alias("__n"))
+    # No more than REPEATS at once, so that no array is large.
+    chunks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(REPEATS).cast("long")), lambda i: F.least(F.lit(REPEATS), F.col("__n") - i).cast("int"))
+    b = b.withColumn("__n", F.explode(chunks)).withColumn("__bin", F.explode(F.sequence(at(low), at(high))))
+    pairs = dealt_join(a, b, [*on, "__bin"]).where(F.col(point).between(F.col(low), F.col(high)))
+    return pairs.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__bin", "__n")
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "inner") -> DataFrame:

@@ -220,3 +220,19 @@ def test_knn_join_by_brute_force(spark, monkeypatch):
     assert [(r.neighbour_key, r.distance) for r in vector.knn_join(few.where("id = 1"), few, "id", "v", 5).orderBy("rank").collect()] == [(3, 2.0), (2, None)]
     with pytest.raises(Exception, match="dimensions"):
         vector.knn_join(few, spark.createDataFrame([(9, [1.0, 2.0])], "id long, v array<double>"), "id", "v", 1).collect()
+
+
+def test_interval_join_of_copies_and_hot_bins(spark, monkeypatch):
+    monkeypatch.setattr(relational, "PIECE_ROWS", 6)
+    monkeypatch.setattr(relational, "REPEATS", 4)
+    rng = random.Random(9)
+    left = [(k, rng.choice([1.0, 2.5, 7.0])) for k in range(60)]
+    right = [(lo, lo + 2) for lo in (rng.choice([0.0, 0.5, 1.5, 6.0]) for _ in range(50))] + [(9.0, 8.0), (None, 9.0)]
+    out = relational.interval_join(spark.createDataFrame(left, "id int, t double"), spark.createDataFrame(right, "lo double, hi double"), "t", "lo", "hi", 2.0)
+    assert out.columns == ["id", "t", "lo", "hi"]
+    assert sorted((r.id, r.lo) for r in out.collect()) == sorted((i, lo) for i, t in left for lo, hi in right if lo is not None and lo <= t <= hi)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(1)" in plan and "strategy=merge" in plan
+    rows = out.select("id", "lo").collect()
+    changes = sum(rows[k] != rows[k - 1] for k in range(1, len(rows)))
+    assert changes < len(rows) / 2  # copies of a right row stand together
