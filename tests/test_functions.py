@@ -236,3 +236,14 @@ def test_interval_join_of_copies_and_hot_bins(spark, monkeypatch):
     rows = out.select("id", "lo").collect()
     changes = sum(rows[k] != rows[k - 1] for k in range(1, len(rows)))
     assert changes < len(rows) / 2  # copies of a right row stand together
+
+
+def test_box_join_cuts_a_full_cell_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(relational, "PIECE_ROWS", 10)
+    left = spark.range(90).selectExpr("id", "id / 100 AS x0", "id / 100 + 0.1 AS x1", "0D AS y0", "1D AS y1").coalesce(1)
+    right = spark.range(70).selectExpr("id AS sid", "id / 100 AS u0", "id / 100 + 0.1 AS u1", "0D AS v0", "1D AS v1").coalesce(1)
+    box, other = spatial.Box.of("x0", "x1", "y0", "y1"), spatial.Box.of("u0", "u1", "v0", "v1")
+    out = spatial.box_join(left, right, box, other, 10.0).select("id", "sid", F.spark_partition_id().alias("p")).collect()
+    want = {(a, b) for a in range(90) for b in range(70) if a / 100 <= b / 100 + 0.1 and a / 100 + 0.1 >= b / 100}
+    assert len(out) == len(want) and {(r.id, r.sid) for r in out} == want
+    assert len({r.p for r in out}) > 1  # one cell, several tasks
