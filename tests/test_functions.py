@@ -247,3 +247,18 @@ def test_box_join_cuts_a_full_cell_in_pieces(spark, monkeypatch):
     want = {(a, b) for a in range(90) for b in range(70) if a / 100 <= b / 100 + 0.1 and a / 100 + 0.1 >= b / 100}
     assert len(out) == len(want) and {(r.id, r.sid) for r in out} == want
     assert len({r.p for r in out}) > 1  # one cell, several tasks
+
+
+def test_sketches_beside_exact_counts():
+    r = Rewriter(lambda name: False)
+    both = "SELECT APPROX_COUNT_DISTINCT(a, 0.02) - COUNT(DISTINCT a) FROM t"
+    assert r.sql(both) == "SELECT APPROX_COUNT_DISTINCT(DISTINCT a, 0.02) - COUNT(DISTINCT a) FROM t"
+    for alone in ("SELECT APPROX_COUNT_DISTINCT(a) FROM t", "SELECT DISTINCT APPROX_COUNT_DISTINCT(a) FROM t", "SELECT APPROX_COUNT_DISTINCT(a) FROM (SELECT COUNT(DISTINCT b) AS a FROM u) AS q"):
+        assert r.sql(alone).count("DISTINCT ") == alone.count("DISTINCT ")
+
+
+def test_sketches_are_not_kept_for_each_value(spark):
+    spark.range(3000).selectExpr("id % 700 AS a", "id % 9 AS b").createOrReplaceTempView("sketched")
+    text = Rewriter(lambda name: False).sql("SELECT APPROX_COUNT_DISTINCT(a, 0.02) AS x, COUNT(DISTINCT a) AS n, COUNT(*) AS r FROM sketched")
+    made, alone = spark.sql(text), spark.sql("SELECT APPROX_COUNT_DISTINCT(a, 0.02) AS x FROM sketched")
+    assert tuple(made.first()) == (alone.first().x, 700, 3000)
